@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillspark.llm.exact_dedup import exact_groups
+from rillspark.llm.minhash import near_groups
 from rillspark.llm.mixing import mix, taken_per_document
 from rillspark.llm.sharding import shard
 
@@ -57,6 +58,10 @@ FROM line GROUP BY doc_id, size, source_size, target
 """
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"), keep="largest")
 
@@ -71,7 +76,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard": op1_shard, "op7_mix": op7_mix, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_shard": op1_shard, "op7_mix": op7_mix, "op9_minhash": op9_minhash, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
