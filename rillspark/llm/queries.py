@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rillspark.llm.exact_dedup import exact_groups
 from rillspark.llm.minhash import near_groups
 from rillspark.llm.mixing import mix, taken_per_document
+from rillspark.llm.packing import pack, token_pieces
 from rillspark.llm.sharding import shard
 
 
@@ -25,6 +26,17 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, capacity=1024, end_id=2)
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=1024)
+
+
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read(spark, sf_dir, "documents"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read(spark, sf_dir, "documents"), weights=[5, 2, 1], budget=1.5, passes=2)
     return taken_per_document(mixed)
@@ -76,7 +88,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard": op1_shard, "op7_mix": op7_mix, "op9_minhash": op9_minhash, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_shard": op1_shard, "op4_pack": op4_pack, "op7_mix": op7_mix, "op9_minhash": op9_minhash, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
