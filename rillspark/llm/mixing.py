@@ -83,3 +83,20 @@ def taken_per_document(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     nth = Window.partitionBy(id_col, "pass").orderBy("size", "taken")
     keys = [id_col, "size", "source_size", "target"]
     return mixed.withColumn("nth", F.row_number().over(nth)).groupBy(*keys, "nth").agg(F.sum("taken").alias("taken")).select(*keys, "taken")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **setting: object) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with their columns: a document taken in two passes comes out twice.
+
+    The one document at a source's cut keeps its first words up to the cut. Rows that share an id are matched by size.
+    """
+    takes = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **setting)
+    same = lambda *keys: Window.partitionBy(*keys).orderBy("size", source_col)
+    takes = takes.withColumn("copy", F.row_number().over(same(id_col, "pass"))).where("taken > 0")
+    takes = takes.select(F.col(id_col).alias("of"), "copy", "taken")
+    rows = docs.withColumn("size", word_count(F.col(text_col)))
+    rows = rows.withColumn("copy", F.row_number().over(same(id_col)))
+    out = rows.join(takes, rows[id_col].eqNullSafe(takes["of"]) & (rows["copy"] == takes["copy"])).drop(takes["copy"])
+    starts = F.split(F.regexp_replace(text_col, r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    first = F.rtrim(F.array_join(F.slice(starts, 1, F.col("taken").cast("int")), ""))
+    return out.withColumn(text_col, F.when(F.col("taken") < F.col("size"), first).otherwise(F.col(text_col))).select(*docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillspark.llm.exact_dedup import exact_groups
@@ -14,6 +14,7 @@ from rillspark.llm.packing import pack, token_pieces
 from rillspark.llm.sharding import shard
 
 from rillspark.llm.suffix_dedup import remove_repeats
+from rillspark.llm.toxicity import toxicity, train
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,21 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"))
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def scored(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with their toxicity, learnt from labels of rows that are not held out."""
+    labels = read(spark, sf_dir, "labels").where(~held_out())
+    return docs.withColumn("score", toxicity(train(read(spark, sf_dir, "documents"), labels), F.col("text")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, read(spark, sf_dir, "documents"), sf_dir)
+    return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read(spark, sf_dir, "documents"), weights=[5, 2, 1], budget=1.5, passes=2)
     return taken_per_document(mixed)
@@ -95,7 +111,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard": op1_shard, "op3_suffix_dedup": op3_suffix_dedup, "op4_pack": op4_pack, "op7_mix": op7_mix, "op9_minhash": op9_minhash, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_shard": op1_shard, "op3_suffix_dedup": op3_suffix_dedup, "op4_pack": op4_pack, "op6_toxicity": op6_toxicity, "op7_mix": op7_mix, "op9_minhash": op9_minhash, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
