@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillspark.llm.embed_dedup import embedding_groups
 from rillspark.llm.exact_dedup import exact_groups
 from rillspark.llm.minhash import near_groups
 from rillspark.llm.mixing import mix, taken_per_document
@@ -29,6 +30,19 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(read(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND array_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, c.component_id, vec_id = c.component_id AS kept
+FROM v JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = vec_id
+"""
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeats(read(spark, sf_dir, "documents"), span=400)
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -111,8 +125,8 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard": op1_shard, "op3_suffix_dedup": op3_suffix_dedup, "op4_pack": op4_pack, "op6_toxicity": op6_toxicity, "op7_mix": op7_mix, "op9_minhash": op9_minhash, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_shard": op1_shard, "op2_embed_dedup": op2_embed_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_pack": op4_pack, "op6_toxicity": op6_toxicity, "op7_mix": op7_mix, "op9_minhash": op9_minhash, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_embed_dedup": OP2_SQL, "op7_mix": OP7_SQL, "op10_exact_dedup": OP10_SQL}
