@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillspark.llm import licenses
+from rillspark.llm.chat import linked_calls, turn_calls
 from rillspark.llm.embed_dedup import embedding_groups
 from rillspark.llm.exact_dedup import exact_groups
 from rillspark.llm.minhash import near_groups
@@ -59,6 +61,12 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    rows = licenses.licences(docs, licenses.train(docs))
+    return rows.withColumn("families", F.array_join("families", ","))
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
@@ -107,6 +115,45 @@ FROM line GROUP BY doc_id, size, source_size, target
 """
 
 
+#: The tools of derived calls: short prompts look something up, others are answered if they are not too long.
+SCHEMAS = {
+    "lookup": {"prompt": {"type": "string", "least": 1}, "words": {"type": "integer", "least": 1, "most": 20}},
+    "answer": {"prompt": {"type": "string"}, "words": {"type": "integer", "least": 21, "most": 100}},
+}
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_calls(*turn_calls(read(spark, sf_dir, "conversations")), SCHEMAS)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE m AS (
+    SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::INT AS words FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), calls AS (
+    SELECT conv_id, turn, md5(conv_id || ':' || turn) AS call_id, md5(conv_id || ':' || (turn - 2)) AS up, text, words,
+           CASE WHEN words <= 20 THEN 'lookup' ELSE 'answer' END AS name FROM m WHERE role = 'user'
+), results AS (
+    SELECT conv_id, turn, md5(conv_id || ':' || (turn - 1)) AS call_id, text FROM m WHERE role = 'assistant'
+), levels AS (
+    SELECT call_id, 0 AS level FROM calls WHERE up NOT IN (SELECT call_id FROM calls)
+    UNION ALL SELECT c.call_id, l.level + 1 FROM calls c JOIN levels l ON c.up = l.call_id
+), linked AS (
+    SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS call_turn, r.turn AS result_turn, l.level, c.name, c.text AS prompt, c.words, r.text AS content,
+           CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'open' ELSE 'linked' END AS status,
+           CASE WHEN c.call_id IS NULL THEN '' WHEN c.name = 'lookup' THEN concat_ws('; ', CASE WHEN length(c.text) < 1 THEN 'prompt: too small' END, CASE WHEN c.words < 1 THEN 'words: too small' END)
+                ELSE CASE WHEN c.words > 100 THEN 'words: too large' ELSE '' END END AS errors
+    FROM calls c LEFT JOIN levels l ON l.call_id = c.call_id FULL JOIN results r ON c.call_id = r.call_id
+)
+SELECT conv_id, call_id, status, call_turn, result_turn, level,
+       format('{:010d}.{:010d}', coalesce(level, -1), coalesce(call_turn, result_turn)) || CASE WHEN status = 'orphan' THEN '.1' ELSE '.0' END AS position,
+       CASE WHEN status <> 'orphan' THEN 1 END AS copies, errors,
+       '{' || CASE WHEN status <> 'orphan' THEN '"arguments":{"prompt":' || to_json(prompt) || ',"words":' || words || '},' ELSE '' END || '"id":"' || call_id || '",'
+       || CASE WHEN status <> 'orphan' THEN '"name":"' || name || '",' ELSE '' END || CASE WHEN status <> 'open' THEN '"result":' || to_json(content) || ',' ELSE '' END
+       || '"status":"' || status || '","valid":' || (errors = '')::VARCHAR || '}' AS json
+FROM linked
+"""
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -125,8 +172,8 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard": op1_shard, "op2_embed_dedup": op2_embed_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_pack": op4_pack, "op6_toxicity": op6_toxicity, "op7_mix": op7_mix, "op9_minhash": op9_minhash, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_shard": op1_shard, "op2_embed_dedup": op2_embed_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_pack": op4_pack, "op5_licenses": op5_licenses, "op6_toxicity": op6_toxicity, "op7_mix": op7_mix, "op8_chat": op8_chat, "op9_minhash": op9_minhash, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embed_dedup": OP2_SQL, "op7_mix": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_embed_dedup": OP2_SQL, "op7_mix": OP7_SQL, "op8_chat": OP8_SQL, "op10_exact_dedup": OP10_SQL}
