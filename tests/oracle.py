@@ -21,13 +21,18 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def text(x) -> str:
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and pd.isna(x)):
+        return "null"
+    if isinstance(x, float):
+        return str(int(x)) if x.is_integer() else f"{x:.6g}"
+    return str(x).replace("+00:00", "")
+
+
 def canon(df: pd.DataFrame) -> pd.DataFrame:
     out = df[sorted(df.columns)].copy()
     for c in out.columns:
-        if pd.api.types.is_float_dtype(out[c]):
-            out[c] = out[c].map(lambda x: "null" if pd.isna(x) else str(int(x)) if float(x).is_integer() else f"{x:.6g}")
-        else:
-            out[c] = out[c].map(lambda x: "null" if x is None or x is pd.NaT or (isinstance(x, float) and pd.isna(x)) else str(x).replace("+00:00", ""))
+        out[c] = out[c].map(text)
     return out.sort_values(list(out.columns)).reset_index(drop=True)
 
 
