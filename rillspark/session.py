@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table with ``ts`` as an instant: the stored type is a naive timestamp, which watermarks reject."""
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (the checkpoint folder; a temporary one where none is set)."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
