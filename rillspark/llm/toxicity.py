@@ -175,41 +175,62 @@ def window_ids(token: np.ndarray, counts: np.ndarray, text: np.ndarray, begin: n
     return np.where(mask, token[np.minimum(place, len(token) - 1)], blank), mask
 
 
-def odds(bucket: np.ndarray, text: np.ndarray, toxic: np.ndarray, prior: float = 8.0) -> np.ndarray:
-    """Smoothed log-odds of the label among texts that have a bucket, against all texts."""
-    pairs = np.unique(bucket.astype(np.int64) * len(toxic) + text)
-    which, of = pairs // len(toxic), pairs % len(toxic)
-    n, t = np.bincount(which, minlength=BUCKETS), np.bincount(which, weights=toxic[of], minlength=BUCKETS)
-    base = min(max(float(toxic.mean()), 1e-3), 1 - 1e-3)
+def log_odds(n: np.ndarray, t: np.ndarray, base: float, prior: float = 8.0) -> np.ndarray:
+    """Smoothed log-odds of the label among the ``n`` texts that have a bucket, ``t`` of them toxic, against all texts."""
     share = (t + prior * base) / (n + prior)
     return (np.log(share / (1 - share)) - np.log(base / (1 - base))).astype(np.float32)
 
 
-def fit(texts: list[str], toxic: np.ndarray, turns: int = 3, steps: int = 300, batch: int = 128, rate: float = 0.005, decay: float = 0.05, folds: int = 4, seed: int = 5) -> Network | float:
-    """Train on labelled texts; with one class only, the share of toxic ones takes the network's place."""
+def counted(bucket: np.ndarray, text: np.ndarray, toxic: np.ndarray, fold: np.ndarray, n: np.ndarray, t: np.ndarray) -> None:
+    """Add the texts of each bucket, once each, to ``n`` and the toxic ones to ``t``, by fold."""
+    pairs = np.unique(bucket * len(toxic) + text)
+    which, of = pairs // len(toxic), pairs % len(toxic)
+    np.add.at(n, (fold[of], which), 1)
+    np.add.at(t, (fold[of], which), toxic[of])
+
+
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices start[i] .. start[i] + size[i] - 1, one run after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def fit(texts: list[str], toxic: np.ndarray, turns: int = 3, steps: int = 300, batch: int = 128, rate: float = 0.01, decay: float = 0.05, folds: int = 4, seed: int = 5) -> Network | float:
+    """Train on labelled texts; with one class only, the share of toxic ones takes the network's place.
+
+    A text's inputs come from odds counted without its fold, as they will for texts that training never saw.
+    """
     toxic = np.asarray(toxic, np.float32)
     if not len(toxic) or toxic.min() == toxic.max():
         return float(toxic.mean()) if len(toxic) else 0.0
     powers = bytescan.Powers()
-    data = np.frombuffer("".join(texts).encode(), np.uint8)
-    offsets = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
-    unique, token, counts, grams, at = word_table(data, offsets, powers)
-    of = np.repeat(np.arange(len(texts)), counts)
-    per_word = np.diff(np.r_[at, len(grams)])
-    used = np.unique(token.astype(np.int64) * len(texts) + of)
-    word, text = used // len(texts), used % len(texts)
-    gram_at = np.repeat(at[word], per_word[word]) + np.arange(int(per_word[word].sum())) - np.repeat(np.cumsum(per_word[word]) - per_word[word], per_word[word])
-    word_bucket, gram_bucket = (unique[word] % np.uint64(BUCKETS)).astype(np.int64), grams[gram_at]
-    gram_text = np.repeat(text, per_word[word])
     fold = np.random.default_rng(seed).permutation(len(texts)) % folds
-    fixed = []  # a text's inputs come from odds counted without its fold, as they will for texts that training never saw
-    for k in range(folds):
-        kept, kept_grams = fold[text] != k, fold[gram_text] != k
-        part = Network.new(odds(word_bucket[kept], text[kept], toxic), odds(gram_bucket[kept_grams], gram_text[kept_grams], toxic), seed)
-        fixed.append(part.inputs(unique, grams, at))
-    fixed = np.concatenate(fixed)
+    word_n, word_t, gram_n, gram_t = (np.zeros((folds, BUCKETS)) for _ in range(4))
+    parts, tokens, sizes, words_before, grams_before = [], [], [], 0, 0
+    for first, data, offsets in bytescan.pieces(pa.array(texts, pa.string())):
+        unique, token, counts, grams, at = word_table(data, offsets, powers)
+        of = first + np.repeat(np.arange(len(counts)), counts)
+        used = np.unique(token.astype(np.int64) * len(texts) + of)
+        word, text = used // len(texts), used % len(texts)
+        per_word = np.diff(np.r_[at, len(grams)])
+        counted((unique[word] % np.uint64(BUCKETS)).astype(np.int64), text, toxic, fold, word_n, word_t)
+        counted(grams[runs(at[word], per_word[word])], np.repeat(text, per_word[word]), toxic, fold, gram_n, gram_t)
+        parts.append((unique, at + grams_before, per_word, grams))
+        tokens.append(token + words_before)
+        sizes.append(counts)
+        words_before, grams_before = words_before + len(unique), grams_before + len(grams)
+    unique, where, again = np.unique(np.concatenate([x[0] for x in parts]), return_index=True, return_inverse=True)
+    token, counts = again[np.concatenate(tokens)], np.concatenate(sizes)
+    start, per_word = (np.concatenate([x[i] for x in parts])[where] for i in (1, 2))
+    grams, at = np.concatenate([x[3] for x in parts])[runs(start, per_word)], np.cumsum(per_word) - per_word
+    of = np.repeat(np.arange(len(texts)), counts)
+    base = min(max(float(toxic.mean()), 1e-3), 1 - 1e-3)
+    without = [Network.new(log_odds(word_n.sum(0) - word_n[k], word_t.sum(0) - word_t[k], base), log_odds(gram_n.sum(0) - gram_n[k], gram_t.sum(0) - gram_t[k], base), seed) for k in range(folds)]
+    del parts, tokens
     rows = len(unique) + 1
-    net = Network.new(odds(word_bucket, text, toxic), odds(gram_bucket, gram_text, toxic), seed)
+    fixed = np.empty((folds * rows, 3 + LEARNT), np.float32)
+    for k, part in enumerate(without):
+        fixed[k * rows : (k + 1) * rows] = part.inputs(unique, grams, at)
+    net = Network.new(log_odds(word_n.sum(0), word_t.sum(0), base), log_odds(gram_n.sum(0), gram_t.sum(0), base), seed)
     text, begin = windows(counts)
     first_window = np.searchsorted(text, np.arange(len(texts) + 1))
     vector_of = np.r_[((unique >> np.uint64(20)) % np.uint64(VECTORS)).astype(np.int64), 0]
@@ -217,7 +238,9 @@ def fit(texts: list[str], toxic: np.ndarray, turns: int = 3, steps: int = 300, b
     rng, step = np.random.default_rng(seed), 0
     order = np.flatnonzero(counts > 0)
     for turn in range(turns):
-        fixed[:, 3:] = np.tile(np.r_[net.p["vectors"][vector_of[:-1]], np.zeros((1, LEARNT), np.float32)], (folds, 1))
+        for k in range(folds):
+            fixed[k * rows : (k + 1) * rows - 1, 3:] = net.p["vectors"][vector_of[:-1]]
+            fixed[(k + 1) * rows - 1, 3:] = 0
         if turn == 0:  # before the network knows anything, the window with the largest odds is the one to look at
             hot = fixed[:, :3].sum(axis=1)[token + fold[of] * rows]
             logit = np.array([hot[b : b + WINDOW].max() for b in begin.tolist()])
@@ -251,7 +274,7 @@ def fit(texts: list[str], toxic: np.ndarray, turns: int = 3, steps: int = 300, b
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 2000, longest: int = 200_000) -> Network | float:
+def train(docs: DataFrame, labels: DataFrame, most: int = 700, longest: int = 200_000) -> Network | float:
     """Fit on at most ``most`` toxic and 2 * ``most`` clean labelled texts of up to ``longest`` characters.
 
     The sample is the first by a hash of the id, so reruns agree. Labels with a null are left out; of several labels of
