@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rillspark.llm.common import staged
 from rillspark.llm.exact_dedup import exact_dedup
@@ -13,7 +14,7 @@ from rillspark.llm.queries import packed, read, scored
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network scores below one half."""
-    return scored(spark, docs, sf_dir).where("score < 0.5").select(*docs.columns)
+    return scored(spark, docs, sf_dir, "toxicity score").where(F.col("toxicity score") < 0.5).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

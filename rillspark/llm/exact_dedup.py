@@ -79,6 +79,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Rows equal in id and text come out once."""
     kept = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("kept id"), F.col("text_sha256").alias("kept digest"))
-    marked = docs.withColumn("digest", text_digest(F.col(text_col)))
-    out = marked.join(kept, marked[id_col].eqNullSafe(kept["kept id"]) & (marked["digest"] == kept["kept digest"]), "left_semi")
-    return out.dropDuplicates([id_col, "digest"]).select(*docs.columns)
+    marked = docs.withColumn("text digest", text_digest(F.col(text_col)))
+    out = marked.join(kept, marked[id_col].eqNullSafe(kept["kept id"]) & (marked["text digest"] == kept["kept digest"]), "left_semi")
+    return out.dropDuplicates([id_col, "text digest"]).select(*docs.columns)

@@ -91,12 +91,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     The one document at a source's cut keeps its first words up to the cut. Rows that share an id are matched by size.
     """
     takes = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **setting)
-    same = lambda *keys: Window.partitionBy(*keys).orderBy("size", source_col)
-    takes = takes.withColumn("copy", F.row_number().over(same(id_col, "pass"))).where("taken > 0")
-    takes = takes.select(F.col(id_col).alias("of"), "copy", "taken")
-    rows = docs.withColumn("size", word_count(F.col(text_col)))
-    rows = rows.withColumn("copy", F.row_number().over(same(id_col)))
-    out = rows.join(takes, rows[id_col].eqNullSafe(takes["of"]) & (rows["copy"] == takes["copy"])).drop(takes["copy"])
+    same = lambda size, *keys: Window.partitionBy(*keys).orderBy(size, source_col)
+    takes = takes.withColumn("copy", F.row_number().over(same("size", id_col, "pass"))).where("taken > 0")
+    takes = takes.select(F.col(id_col).alias("mixed id"), F.col("copy").alias("mixed nth"), F.col("taken").alias("words taken"))
+    rows = docs.withColumn("words of text", word_count(F.col(text_col)))
+    rows = rows.withColumn("nth of id", F.row_number().over(same("words of text", id_col)))
+    out = rows.join(takes, rows[id_col].eqNullSafe(takes["mixed id"]) & (rows["nth of id"] == takes["mixed nth"]))
     starts = F.split(F.regexp_replace(text_col, r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    first = F.rtrim(F.array_join(F.slice(starts, 1, F.col("taken").cast("int")), ""))
-    return out.withColumn(text_col, F.when(F.col("taken") < F.col("size"), first).otherwise(F.col(text_col))).select(*docs.columns)
+    first = F.rtrim(F.array_join(F.slice(starts, 1, F.col("words taken").cast("int")), ""))
+    cut = F.when(F.col("words taken") < F.col("words of text"), first).otherwise(F.col(text_col))
+    return out.withColumn(text_col, cut).select(*docs.columns)

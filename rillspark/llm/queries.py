@@ -71,10 +71,10 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def scored(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, docs: DataFrame, sf_dir: str, out: str = "score") -> DataFrame:
     """``docs`` with their toxicity, learnt from labels of rows that are not held out."""
     labels = read(spark, sf_dir, "labels").where(~held_out())
-    return docs.withColumn("score", toxicity(train(read(spark, sf_dir, "documents"), labels), F.col("text")))
+    return docs.withColumn(out, toxicity(train(read(spark, sf_dir, "documents"), labels), F.col("text")))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
