@@ -30,8 +30,8 @@ def with_bucket(rows: DataFrame, time: Column) -> DataFrame:
 
 
 def bucketed_files(rows: DataFrame, path: str, time: Column, form: str = "parquet") -> None:
-    """Files in one folder per hour of ``time``."""
-    with_bucket(rows, time).write.partitionBy("bucket").format(form).mode("append").save(path)
+    """Files in one folder per hour of ``time``; rows of an hour are brought together first, large hours in several files."""
+    with_bucket(rows, time).hint("rebalance", "bucket").write.partitionBy("bucket").format(form).mode("append").save(path)
 
 
 def bucketed_file_stream(rows: DataFrame, path: str, checkpoint: str, form: str = "parquet", every: str = "1 minute") -> StreamingQuery:

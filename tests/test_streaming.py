@@ -1,10 +1,13 @@
 """A stream over several files gives the batch form's rows; a query that stops and resumes gives those of an unbroken one."""
 
+import time
+
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rillspark.operators import aggregates, joins, rows, state, topn, windows
+from rillspark.operators import aggregates, joins, patterns, rows, state, topn, windows
 from rillspark.plans.base import clicks
 from rillspark.sources import files
 from rillspark.streaming import processors, queries, sinks
@@ -104,6 +107,8 @@ ORDER = ["ts", "event_id"]
         (processors.Changelog(), lambda df: rows.changelog(df, "user_id", ORDER)),
         (processors.CountWindow(5), lambda df: windows.count_tumbling(df, "user_id", 5, ORDER, F.sum("vc").alias("sum_vc"))),
         (processors.TopSoFar(3), lambda df: state.top_so_far(df, "user_id", "vc", ORDER, 3).withColumn("top", F.array_join(F.transform("top", lambda x: x.cast("string")), ","))),
+        (processors.HitStreak("error", 2), lambda df: patterns.state_machine(df, "user_id", F.col("event_type") == "error", ORDER, 2)),
+        (processors.ValueCounts(), lambda df: df.withColumn("n", F.row_number().over(Window.partitionBy("user_id", "vc").orderBy(*ORDER)))),
     ],
     ids=lambda x: type(x).__name__ if isinstance(x, processors.StatefulProcessor) else "",
 )
@@ -112,6 +117,24 @@ def test_processors_equal_batch(spark, folder, tmp_path, processor, want):
     same(out.where("user_id < 1000000000"), want(batch(spark, folder)), processor.columns)
 
 
+def test_expiring_value_is_forgotten(spark, tmp_path):
+    data = [(1, "2024-01-01 00:00:00", 1, 5), (2, "2024-01-01 00:00:01", 1, None), (3, "2024-01-01 00:00:02", 1, None)]
+    rows_ = spark.createDataFrame(data, "event_id long, ts string, user_id long, vc long").withColumn("ts", F.col("ts").cast("timestamp"))
+    for i in (1, 2, 3):
+        rows_.where(F.col("event_id") == i).coalesce(1).write.parquet(f"{tmp_path}/in/f{i}")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    df = files.timed_stream(spark, f"{tmp_path}/in/*", "event_id bigint, ts timestamp, user_id bigint, vc bigint", "ts", "1 hour")
+    p = processors.ExpiringValue(1)
+    q = processors.run(df, "user_id", p, p.schema, time_mode="ProcessingTime").writeStream.format("memory").queryName("expired").start()
+    for _ in range(80):
+        if spark.table("expired").count() == 3:
+            break
+        time.sleep(1)
+    q.stop()
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert {r["held"] for r in spark.table("expired").collect()} <= {None, 5} and spark.table("expired").count() == 3
+
+
 def test_timers_fire_after_the_watermark(spark, folder, tmp_path):
     p = processors.TimedCount(3_600_000)
     out = drained(spark, processors.run(stream(spark, folder, "1 second"), "user_id", p, p.schema, time_mode="EventTime"), tmp_path)
@@ -152,3 +175,22 @@ def test_custom_writer_and_files(spark, folder, tmp_path):
     q.awaitTermination(120)
     with open(path) as f:
         assert len(f.readlines()) == batch(spark, folder).count() + 1
+
+
+def test_top_keys_of_closed_windows(spark, folder, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    counts = queries.closed_windows(stream(spark, folder), "ts", "4 hours", ["event_type"], F.count("*").alias("cnt"))
+    out = str(tmp_path / "ranks")
+    q = sinks.each_batch(counts, queries.rank_closed_windows(out, "event_type", 2), str(tmp_path / "c"))
+    q.awaitTermination(120)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    got = spark.read.option("mergeSchema", True).parquet(f"{out}/*").where("event_type <> 'end'")
+    same(got, topn.topn_per_window(batch(spark, folder), "ts", "4 hours", "event_type", 2), ["event_type", "window_start", "cnt", "rank"])
+
+
+def test_threshold_from_a_control_table(spark, folder, tmp_path):
+    out = str(tmp_path / "above")
+    control = lambda: spark.createDataFrame([(1, 50.0), (2, 200.0)], "seq int, threshold double")
+    q = sinks.each_batch(stream(spark, folder), queries.control_writer(control, "vc", "threshold", 0.0, out), str(tmp_path / "c"))
+    q.awaitTermination(120)
+    assert spark.read.parquet(f"{out}/*").count() == batch(spark, folder).where("vc > 200").count()
