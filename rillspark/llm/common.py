@@ -27,6 +27,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Let Python tasks take few rows at a time: texts have no bounded length, so a batch's size is only held by its rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a staged table that no later plan reads."""
     spark = df.sparkSession
@@ -51,27 +56,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), the smallest node of each component.
 
     Alternates the two star steps of distributed label propagation: every node links its larger neighbours, then its
-    smaller ones, to its smallest neighbour. Rounds end when the edge set no longer changes; each is written out.
+    smaller ones, to its smallest neighbour. Each step is written out; it ends when every edge leads straight to a root.
     """
-    both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, print_ = staged(both, "edges"), None
+    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
-        sides = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        if stars_only(now):
+            break
+        sides = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sides.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = sides.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         large = staged(large, "edges")
+        dropped(now)
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        small = staged(small, "edges")
-        mark = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = staged(small, "edges")
         dropped(large)
-        dropped(now)
-        now = small
-        if mark == print_:
-            break
-        print_ = mark
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(
-        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def stars_only(edges: DataFrame) -> bool:
+    """Whether every node on the left has one edge, and none of them stands on the right."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("left")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("left")))
+    nodes = ends.groupBy("node").agg(F.sum("left").alias("out"), F.min("left").alias("least"))
+    return not nodes.where("out > 1 or (out > 0 and least = 0)").head(1)

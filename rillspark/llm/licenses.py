@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.llm import bytescan
+from rillspark.llm.common import small_batches
 
 BUCKETS, WINDOW, STRIDE = 1 << 15, 48, 24
 
@@ -213,8 +214,13 @@ def fit(unknown: list[str], seed: int = 3, rounds: int = 150, rate: float = 0.5,
 
 
 def train(docs: DataFrame, most: int = 400, longest: int = 20_000, text_col: str = "text") -> Scanner:
-    """Fit with the lines of at most ``most`` texts of up to ``longest`` characters as unknown text, first by a hash."""
-    some = docs.where(F.length(text_col) <= longest).select(text_col).orderBy(F.xxhash64(text_col)).limit(most)
+    """Fit with the lines of at most ``most`` different texts of up to ``longest`` characters as unknown text.
+
+    They are the first by a hash of the text, so reruns agree; only they come to the driver.
+    """
+    short = docs.where(F.length(text_col) <= longest).select(text_col, F.xxhash64(text_col).alias("order"))
+    last = short.select("order").distinct().orderBy("order").limit(most).agg(F.max("order")).first()[0]
+    some = short.where(F.col("order") <= F.lit(last)).dropDuplicates(["order"]).orderBy("order").select(text_col)  # ``most`` rows
     lines = [line for row in some.collect() for line in row[0].split("\n") if line.strip()]
     return fit(lines)
 
@@ -224,6 +230,7 @@ def licences(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col
 
     Null and empty texts have no paragraphs. Every line of a text is read, however long; repeated rows repeat.
     """
+    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = bytescan.Powers()
