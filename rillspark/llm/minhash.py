@@ -4,9 +4,12 @@
    is hashed once: each of ``BINS`` ranges of the hash keeps its smallest value, and an empty bin borrows that of a
    full one, chosen by a hash of (bin, attempt) alone, so that equal sets borrow alike.
 2. Texts with equal sets are one class, however many; classes meet in band buckets.
-3. A bucket links its members to one hub, so it makes fewer pairs than it has members. Pairs are confirmed on full sets.
-4. A bucket whose members are not all in one component yet is looked at again: small ones compare the members of
-   different components, large ones take another hub for some turns and then do as the small ones.
+3. A bucket links its members to one hub, so it makes fewer pairs than it has members: to the one that meets most others,
+   which is the same in most of its buckets. Pairs are confirmed on full sets.
+4. A bucket whose members are not all in one component yet is looked at again. In small ones the members of different
+   components are compared. In large ones those outside the commonest component meet a few hubs, and then all are split
+   by the value of further bands, so that only more similar sets stay together. A pair at the threshold shares about
+   half of its bands, so it has many such chances. Pairs grow with the members at every turn.
 """
 
 from __future__ import annotations
@@ -15,17 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillspark.llm import bytescan
-from rillspark.llm.common import components, dropped, staged, with_groups
+from rillspark.llm.common import components, dropped, small_batches, staged, with_groups
 
 BINS, BANDS = 128, 32
-#: Buckets up to this size compare all members of different components at their second turn: at most 31 pairs a member.
-SMALL = 32
-#: Turns after which large buckets that are still open do the same.
-TURNS = 3
+#: Open buckets up to this size compare the members of different components: at most 7 pairs a member.
+SMALL = 8
+#: Larger ones are split by each of these following bands, up to so many times.
+SPLITS, DEPTH = (1, 2, 3), 2
+HUBS = 3
 SET = ["n_shingles", "set_a", "set_b"]
 
 
@@ -124,10 +128,47 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their component so far, of the buckets that hold more than one component."""
-    named = members.join(labels, members["node"] == labels["labelled"], "left").drop("labelled")
+    named = members.drop("component", "n").join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left").drop("labelled")
     named = named.withColumn("component", F.coalesce("component", "node"))
-    split = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    return named.join(split, "bucket", "left_semi")
+    split = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
+    return named.join(split.select("bucket", "n"), "bucket")
+
+
+def shared_buckets(listed: DataFrame) -> DataFrame:
+    """The rows (bucket, node, ...) of buckets with several members, with their number ``n``."""
+    return listed.join(listed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+
+
+def star(members: DataFrame, percent: int, rank: Column) -> DataFrame:
+    """Pairs (a, b) of each member and its bucket's hub, a above b; those of one component so far are left out.
+
+    The hub is the member of largest ``rank``. ``members`` has component, by which a pair is known to be linked already.
+    """
+    hubs = members.groupBy("bucket").agg(F.max_by(F.struct("node", "n_shingles", "component"), F.struct(rank, -F.col("node"))).alias("hub"))
+    pairs = members.join(hubs, "bucket").where("component <> hub.component").where(fitting("n_shingles", "hub.n_shingles", percent))
+    return pairs.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
+
+
+def outsider_stars(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the members outside each bucket's commonest component with hubs of two kinds.
+
+    Of the commonest component the ``HUBS`` members that meet most others: if a text has no change in common with any of
+    them, the ones nearest the middle are its likeliest partners. Of the outsiders ``HUBS`` by a hash; where the
+    commonest component has most of the bucket, so that outsiders are few, these are compared with all of it.
+    """
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("main"))
+    named = members.join(main, "bucket").withColumn("outside", F.col("component") != F.col("main.component"))
+    rank = F.when(F.col("outside"), F.xxhash64("bucket", "node")).otherwise(-F.col("meets"))
+    nth = F.row_number().over(Window.partitionBy("bucket", "outside").orderBy(rank, "node"))
+    hubs = named.withColumn("nth", nth).where(F.col("nth") <= HUBS).select("bucket", F.struct("node", "n_shingles", "component", "outside").alias("hub"))
+    wanted = F.col("outside") | (F.col("hub.outside") & (2 * F.col("main.size") > F.col("n")))
+    pairs = named.join(hubs, "bucket").where(wanted & (F.col("component") != F.col("hub.component"))).where(fitting("n_shingles", "hub.n_shingles", percent))
+    return pairs.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
+
+
+def fitting(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
@@ -135,43 +176,41 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col
 
     ``classes`` has node, the class's smallest id, n_shingles and bands.
     """
-    listed = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = listed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub"))
-    members = staged(listed.join(shared.where("n > 1"), "bucket"), "bucket-members")
-    nodes = members.select(F.col("node").alias("wanted")).distinct()
-    texts = docs.join(nodes, docs[id_col] == nodes["wanted"], "left_semi")
+    listed = classes.select("node", "n_shingles", F.col("node").alias("component"), F.posexplode("bands").alias("band", "bucket"))
+    members = staged(shared_buckets(listed), "bucket-members")
+    nodes = staged(members.groupBy("node").agg(F.sum("n").alias("meets")), "meets")
+    texts = docs.join(nodes.select(F.col("node").alias("wanted")), docs[id_col] == F.col("wanted"), "left_semi")
     sets = staged(shingle_sets(texts, k, id_col, text_col), "shingle-sets")
-
-    fits = "100 * least(n_a, n_b) >= {0} * greatest(n_a, n_b)".format(percent)
-    hubs = members.where("node = hub").select("bucket", F.col("n_shingles").alias("n_b")).distinct()
-    pairs = members.where("node <> hub").withColumnRenamed("n_shingles", "n_a").join(hubs, "bucket").where(fits)
-    pairs = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = tried = None
-    turn = 0
-    while True:
+    # At first the hub is the member that meets most others: the text that copies were made from, in all its bands.
+    pairs = star(members.join(nodes, "node"), percent, F.col("meets"))
+    labels = tried = None
+    for depth in range(DEPTH + 1):
         pairs = staged(pairs, "pairs")
-        if not pairs.head(1) and (turn == 0 or turn > TURNS):
+        if not pairs.head(1):
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = staged(confirmed(pairs, sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links).select(F.col("node").alias("labelled"), "component")
-        rest = staged(open_members(members, labels), "open-members")
-        turn += 1
-        if not rest.head(1):
+        if new.head(1):
+            edges = new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            labels = staged(components(edges), "labels")
+        if depth == DEPTH:
             break
-        one = rest.select("bucket", "n", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"))
-        two = rest.select("bucket", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"))
-        every = F.col("n") <= SMALL if turn < TURNS else F.lit(True)
-        small = one.where(every).join(two, "bucket").where("a > b")
-        nth = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "b"))
-        hubs = two.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") == turn).drop("nth")
-        large = one.where(~every).join(hubs, "bucket").where("a <> b")
-        both = small.select("a", "b", "n_a", "n_b", "c_a", "c_b").unionByName(large.select("a", "b", "n_a", "n_b", "c_a", "c_b"))
-        pairs = both.where("c_a <> c_b").where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    for table in (members, sets):
-        dropped(table)
-    return None if links is None else components(links)
+        known = listed.select("node", "component").where("false") if labels is None else labels
+        rest = staged(open_members(members, known), "open-members")
+        dropped(members)
+        one = rest.where(F.col("n") <= SMALL).select("bucket", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"))
+        two = one.toDF("bucket", "b", "n_b", "c_b")
+        small = one.join(two, "bucket").where("a > b and c_a <> c_b").where(fitting("n_a", "n_b", percent)).select("a", "b")
+        large = rest.where(F.col("n") > SMALL)
+        pairs = small.unionByName(outsider_stars(large.join(nodes, "node"), percent)).distinct().join(tried, ["a", "b"], "left_anti")
+        if depth == DEPTH - 1:
+            continue
+        large = large.select("bucket", "node", "n_shingles", "component", "band", F.explode(F.array(*[F.lit(d) for d in SPLITS])).alias("split"))
+        large = large.join(classes.select("node", "bands"), "node").withColumn("band", (F.col("band") + F.col("split")) % BANDS)
+        finer = F.xxhash64("bucket", "band", F.element_at("bands", F.col("band") + 1))
+        members = staged(shared_buckets(large.select("node", "n_shingles", "component", "band", finer.alias("bucket"))), "bucket-members")
+    dropped(sets)
+    return labels
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,6 +220,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     is the smallest id reachable. Texts without words, null ones too, are linked with nothing. Rows that share an id are
     one node: what either is linked with, both are. Rows with a null id are linked, but never lend their id.
     """
+    small_batches(docs.sparkSession)
     rows = staged(sketches(docs, k, id_col, text_col), "sketches")
     classes = rows.where("n_shingles > 0").groupBy(*SET).agg(F.min(id_col).alias("node"), F.count("*").alias("size"), F.any_value("bands").alias("bands"))
     classes = staged(classes, "classes")
@@ -197,5 +237,5 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with all their columns."""
-    gone = near_groups(docs, k, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("gone"))
-    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    gone = near_groups(docs, k, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("gone id"))
+    return docs.join(gone, docs[id_col] == gone["gone id"], "left_anti")
