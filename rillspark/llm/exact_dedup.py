@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from rillspark.llm.common import staged, with_groups
+from rillspark.llm.common import small_batches, staged, with_groups
 
 @F.pandas_udf(StringType())
 def text_digest(texts: pd.Series) -> pd.Series:
@@ -31,6 +31,7 @@ KEYS = ["text_sha256", "n_bytes", "check"]
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_sha256, n_bytes, check) of every row: text in UTF-8 with A-Z lower-cased only; null counts as empty."""
+    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.llm.common import staged
+from rillspark.llm.common import small_batches, staged
 
 #: The alternative of the split pattern that leaves the last of several white-space characters to the next word.
 LOOK_AHEAD = r"\s+(?!\S)|"
@@ -34,6 +34,7 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024
     A document is its text's byte-pair tokens, from the vocabulary file of ``ranks`` that each executor reads, and then
     ``end_id``. A longer one is cut so that only its first piece may be shorter than ``capacity``. Null texts are empty.
     """
+    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -60,7 +61,7 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024
                     length.append(cuts[k + 1] - cuts[k])
                     ids.append(tokens[cuts[k] : cuts[k + 1]].tobytes())
                 size += 4 * n
-                if size > 1 << 24:
+                if size > 1 << 22:
                     yield made(batch, rows, piece, start, length, ids)
                     rows, piece, start, length, ids, size = [], [], [], [], [], 0
             yield made(batch, rows, piece, start, length, ids)

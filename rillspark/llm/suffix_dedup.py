@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.llm import bytescan
-from rillspark.llm.common import staged
+from rillspark.llm.common import small_batches, staged
 
 #: The cover's period: 24 r^2 + 36 r + 13 for r = 1; its 6 r + 4 residues come from Colbourn and Ling's rule.
 COVER = 73
@@ -226,6 +226,7 @@ def remove_repeats(docs: DataFrame, span: int = 400, most: int = 256, id_col: st
     Strings are judged on the input, may overlap, and never cross rows; copies within a row count. Null texts are empty.
     Shorter texts than ``span`` stay whole. Rows that repeat an id and a text are treated alike, each a copy of the other.
     """
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     plain = plain.withColumn("text_id", F.xxhash64("text")).select(*ROW, "text")
     spans = repeated_spans(plain, span, most)
