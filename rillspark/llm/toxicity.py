@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from rillspark.llm import bytescan
+from rillspark.llm.common import small_batches
 
 WINDOW, STRIDE = 32, 24
 BUCKETS, VECTORS, LEARNT, HIDDEN, ATTENTION = 1 << 16, 1 << 12, 5, 8, 8
@@ -214,12 +215,12 @@ def fit(texts: list[str], toxic: np.ndarray, turns: int = 3, steps: int = 300, b
         per_word = np.diff(np.r_[at, len(grams)])
         counted((unique[word] % np.uint64(BUCKETS)).astype(np.int64), text, toxic, fold, word_n, word_t)
         counted(grams[runs(at[word], per_word[word])], np.repeat(text, per_word[word]), toxic, fold, gram_n, gram_t)
-        parts.append((unique, at + grams_before, per_word, grams))
-        tokens.append(token + words_before)
+        parts.append((unique, at + grams_before, per_word, grams.astype(np.int32)))
+        tokens.append((token + words_before).astype(np.int32))
         sizes.append(counts)
         words_before, grams_before = words_before + len(unique), grams_before + len(grams)
     unique, where, again = np.unique(np.concatenate([x[0] for x in parts]), return_index=True, return_inverse=True)
-    token, counts = again[np.concatenate(tokens)], np.concatenate(sizes)
+    token, counts = again.astype(np.int32)[np.concatenate(tokens)], np.concatenate(sizes)
     start, per_word = (np.concatenate([x[i] for x in parts])[where] for i in (1, 2))
     grams, at = np.concatenate([x[3] for x in parts])[runs(start, per_word)], np.cumsum(per_word) - per_word
     of = np.repeat(np.arange(len(texts)), counts)
@@ -274,12 +275,13 @@ def fit(texts: list[str], toxic: np.ndarray, turns: int = 3, steps: int = 300, b
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 700, longest: int = 200_000) -> Network | float:
+def train(docs: DataFrame, labels: DataFrame, most: int = 700, longest: int = 15_000) -> Network | float:
     """Fit on at most ``most`` toxic and 2 * ``most`` clean labelled texts of up to ``longest`` characters.
 
     The sample is the first by a hash of the id, so reruns agree. Labels with a null are left out; of several labels of
     an id, toxic counts. The bound holds whatever the corpus, so its texts may come to the driver, where it is fitted.
     """
+    small_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rank = F.md5(F.col("doc_id").cast("string"))
     some = known.where("toxic = 1").orderBy(rank, "doc_id").limit(most).unionByName(known.where("toxic = 0").orderBy(rank, "doc_id").limit(2 * most))
