@@ -7,9 +7,9 @@
 3. A bucket links its members to one hub, so it makes fewer pairs than it has members: to the one that meets most others,
    which is the same in most of its buckets. Pairs are confirmed on full sets.
 4. A bucket whose members are not all in one component yet is looked at again. In small ones the members of different
-   components are compared. In large ones those outside the commonest component meet a few hubs, and then all are split
-   by the value of further bands, so that only more similar sets stay together. A pair at the threshold shares about
-   half of its bands, so it has many such chances. Pairs grow with the members at every turn.
+   components are compared. The members of large ones get an exact join: two sets at the threshold share a shingle
+   among the first few of each, in any order common to all; the order starts with shingles that only one component
+   has, then the rarest. A shingle of many texts is spread over cells of bounded size.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.llm import bytescan
@@ -27,9 +27,8 @@ from rillspark.llm.common import components, dropped, small_batches, staged, wit
 BINS, BANDS = 128, 32
 #: Open buckets up to this size compare the members of different components: at most 7 pairs a member.
 SMALL = 8
-#: Larger ones are split by each of these following bands, up to so many times.
-SPLITS, DEPTH = (1, 2, 3), 2
-HUBS = 3
+#: The members of larger ones are joined exactly; a cell of that join takes about twice so many texts of one shingle.
+CELL = 128
 SET = ["n_shingles", "set_a", "set_b"]
 
 
@@ -149,30 +148,62 @@ def star(members: DataFrame, percent: int, rank: Column) -> DataFrame:
     return pairs.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
 
 
-def outsider_stars(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the members outside each bucket's commonest component with hubs of two kinds.
+def shared_prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component, n, shingle, left): the shingles by which a set of ``members`` may meet one at the threshold.
 
-    Of the commonest component the ``HUBS`` members that meet most others: if a text has no change in common with any of
-    them, the ones nearest the middle are its likeliest partners. Of the outsiders ``HUBS`` by a hash; where the
-    commonest component has most of the bucket, so that outsiders are few, these are compared with all of it.
+    ``left`` counts the shingles of the set from this one on. All sets are read in one order: first the shingles that
+    only one component has, which make no pair, then the others by the number of sets that have them.
     """
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("main"))
-    named = members.join(main, "bucket").withColumn("outside", F.col("component") != F.col("main.component"))
-    rank = F.when(F.col("outside"), F.xxhash64("bucket", "node")).otherwise(-F.col("meets"))
-    nth = F.row_number().over(Window.partitionBy("bucket", "outside").orderBy(rank, "node"))
-    hubs = named.withColumn("nth", nth).where(F.col("nth") <= HUBS).select("bucket", F.struct("node", "n_shingles", "component", "outside").alias("hub"))
-    wanted = F.col("outside") | (F.col("hub.outside") & (2 * F.col("main.size") > F.col("n")))
-    pairs = named.join(hubs, "bucket").where(wanted & (F.col("component") != F.col("hub.component"))).where(fitting("n_shingles", "hub.n_shingles", percent))
-    return pairs.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
+    listed = members.join(sets, "node").select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    listed = staged(listed, "shingles")
+    counts = listed.groupBy("shingle").agg(F.count("*").alias("having"), F.min("component").alias("low"), F.max("component").alias("high"))
+    counts = staged(counts.where("low < high").select("shingle", "having"), "shingle-counts")
+    held = with_groups(listed, counts, ["shingle"], "having", listed.count()).where("having is not null")
+    lists = held.groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("having", "shingle"))).alias("held"))
+    rows = lists.select("node", "component", "n", F.size("held").alias("m"), F.posexplode("held").alias("at", "one"))
+    rows = rows.select("node", "component", "n", F.col("one.shingle").alias("shingle"), (F.col("m") - F.col("at")).alias("left"))
+    rows = staged(rows.where(100 * F.col("left") >= percent * F.col("n")), "prefixes")
+    dropped(listed)
+    return rows
+
+
+def exact_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (node, component) of different components: all at the threshold are among them.
+
+    If the first shingle that two sets share has ``left`` shingles of a set from it on, they share no more than that.
+    """
+    rows = shared_prefixes(members, sets, percent)
+    groups = rows.groupBy("shingle").agg(F.count("*").alias("having"), F.min("component").alias("low"), F.max("component").alias("high"))
+    groups = staged(groups.where("low < high").select("shingle", "having"), "prefix-groups")
+    rows = with_groups(rows, groups, ["shingle"], "having", rows.count()).where("having is not null")
+    parts = F.ceil(F.col("having") / CELL)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other"))
+    rows = staged(rows.select("shingle", "one", "two", "part", "node", "component", "n", "left"), "cells")
+    a, b = (rows.toDF("shingle", "one", "two", *(f"{c}_{side}" for c in ("part", "node", "component", "n", "left"))) for side in "ab")
+    # A cell of two parts compares across them only, so that every pair meets in one cell of a shingle.
+    met = "node_a > node_b and component_a <> component_b and (one = two or part_a <> part_b)"
+    enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    pairs = a.join(b, ["shingle", "one", "two"]).where(met).where(enough)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def fitting(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
-    """(node, component) of the classes that are linked to another; None if no two meet in a bucket.
+def linked(pairs: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The components of ``labels`` (node, component) after the pairs at the threshold are linked, and the staged pairs."""
+    pairs = staged(pairs, "pairs")
+    new = staged(confirmed(pairs, sets, percent), "links")
+    if not new.head(1):
+        return labels, pairs
+    edges = new.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return staged(components(edges), "labels"), pairs
+
+
+def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, component) of the classes that are linked to another.
 
     ``classes`` has node, the class's smallest id, n_shingles and bands.
     """
@@ -183,32 +214,17 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col
     sets = staged(shingle_sets(texts, k, id_col, text_col), "shingle-sets")
     # At first the hub is the member that meets most others: the text that copies were made from, in all its bands.
     pairs = star(members.join(nodes, "node"), percent, F.col("meets"))
-    labels = tried = None
-    for depth in range(DEPTH + 1):
-        pairs = staged(pairs, "pairs")
-        if not pairs.head(1):
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = staged(confirmed(pairs, sets, percent), "links")
-        if new.head(1):
-            edges = new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            labels = staged(components(edges), "labels")
-        if depth == DEPTH:
-            break
-        known = listed.select("node", "component").where("false") if labels is None else labels
-        rest = staged(open_members(members, known), "open-members")
-        dropped(members)
-        one = rest.where(F.col("n") <= SMALL).select("bucket", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"))
-        two = one.toDF("bucket", "b", "n_b", "c_b")
-        small = one.join(two, "bucket").where("a > b and c_a <> c_b").where(fitting("n_a", "n_b", percent)).select("a", "b")
-        large = rest.where(F.col("n") > SMALL)
-        pairs = small.unionByName(outsider_stars(large.join(nodes, "node"), percent)).distinct().join(tried, ["a", "b"], "left_anti")
-        if depth == DEPTH - 1:
-            continue
-        large = large.select("bucket", "node", "n_shingles", "component", "band", F.explode(F.array(*[F.lit(d) for d in SPLITS])).alias("split"))
-        large = large.join(classes.select("node", "bands"), "node").withColumn("band", (F.col("band") + F.col("split")) % BANDS)
-        finer = F.xxhash64("bucket", "band", F.element_at("bands", F.col("band") + 1))
-        members = staged(shared_buckets(large.select("node", "n_shingles", "component", "band", finer.alias("bucket"))), "bucket-members")
+    unlinked = listed.select("node", "component").where("false")
+    labels, tried = linked(pairs, sets, unlinked, percent)
+    rest = staged(open_members(members, labels), "open-members")
+    dropped(members)
+    one = rest.where(F.col("n") <= SMALL).select("bucket", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"))
+    two = one.toDF("bucket", "b", "n_b", "c_b")
+    small = one.join(two, "bucket").where("a > b and c_a <> c_b").where(fitting("n_a", "n_b", percent)).select("a", "b").distinct()
+    labels, _ = linked(small.join(tried, ["a", "b"], "left_anti"), sets, labels, percent)
+    large = rest.where(F.col("n") > SMALL)
+    large = open_members(large, labels).select("node", "component").distinct()
+    labels, _ = linked(exact_pairs(staged(large, "large-members"), sets, percent).join(tried, ["a", "b"], "left_anti"), sets, labels, percent)
     dropped(sets)
     return labels
 
@@ -225,10 +241,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     classes = rows.where("n_shingles > 0").groupBy(*SET).agg(F.min(id_col).alias("node"), F.count("*").alias("size"), F.any_value("bands").alias("bands"))
     classes = staged(classes, "classes")
     found = near_links(classes.where("node is not null").select("node", "n_shingles", "bands"), docs, k, percent, id_col, text_col)
-    named = classes.select(*SET, "size", F.col("node").alias("component_id"))
-    if found is not None:
-        found = found.withColumnRenamed("component", "reached")
-        named = classes.join(found, "node", "left").select(*SET, "size", F.coalesce("reached", "node").alias("component_id"))
+    found = found.withColumnRenamed("component", "reached")
+    named = classes.join(found, "node", "left").select(*SET, "size", F.coalesce("reached", "node").alias("component_id"))
     named = staged(named, "named")
     out = with_groups(rows.drop("bands"), named, SET, "size", rows.count())
     out = out.withColumn("component_id", F.coalesce("component_id", F.col(id_col)))

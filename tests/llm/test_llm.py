@@ -369,6 +369,16 @@ def test_near_groups_equal_brute_force(spark, docs, k, percent):
     assert {i: r["n_shingles"] for i, r in got.items()} == n and all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_look_alikes_find_their_one_partner(spark):
+    """400 texts of one template lie below the threshold to all others but one, which just passes it."""
+    words = lambda name, n: [f"{name}x{i}" for i in range(n)]
+    same = words("t", 240)
+    texts = {i: " ".join(same + words(f"p{i // 2}", 8) + words(f"o{i}", 25)) for i in range(400)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(df, 5, 80).collect()}
+    assert got == {i: i - i % 2 for i in texts}
+
+
 def test_near_edge_cases(docs, none):
     out = minhash.near_groups(docs)
     assert out.count() == docs.count()
