@@ -10,6 +10,7 @@ blocks fill badly is dealt out and packed once more.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import sys
 from array import array
@@ -28,11 +29,12 @@ from rillspark.llm.common import small_batches, staged
 LOOK_AHEAD = r"\s+(?!\S)|"
 
 
-def token_pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", added: dict[str, int] | None = None) -> DataFrame:
     """(id, piece, start, length, ids) for each piece of each text: ``ids`` holds little-endian unsigned 32-bit token ids.
 
     A document is its text's byte-pair tokens, from the vocabulary file of ``ranks`` that each executor reads, and then
     ``end_id``. A longer one is cut so that only its first piece may be shorter than ``capacity``. Null texts are empty.
+    Strings of ``added`` are one token wherever they stand in a text; what lies between them is split on its own.
     """
     small_batches(docs.sparkSession)
 
@@ -44,11 +46,20 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024
         # The look-ahead only matters where white space follows white space; without it the pattern runs twice as fast.
         plain, exact = (tiktoken.Encoding("vocabulary", pat_str=p, mergeable_ranks=merges, special_tokens={}) for p in (pattern.replace(LOOK_AHEAD, ""), pattern))
         gap = re.compile(r"\s\s")
+        marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+        def encoded(text: str) -> list[int]:
+            return (exact if gap.search(text) else plain).encode_ordinary(text)
+
         for batch in batches:
             rows, piece, start, length, ids, size = [], [], [], [], [], 0
             for row, text in enumerate(batch.column(1).to_pylist()):
                 text = text or ""
-                tokens = array("I", (exact if gap.search(text) else plain).encode_ordinary(text))
+                if marks and marks.search(text):
+                    parts = marks.split(text)  # texts and added tokens in turn
+                    tokens = array("I", [t for i, part in enumerate(parts) for t in ([added[part]] if i % 2 else encoded(part))])
+                else:
+                    tokens = array("I", encoded(text))
                 tokens.append(end_id)
                 if sys.byteorder == "big":
                     tokens.byteswap()
@@ -74,6 +85,14 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024
     return docs.select(id_col, text_col).mapInArrow(work, f"{id_col} {kind}, piece int, start bigint, length bigint, ids binary")
 
 
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file and their ids; only plain ones, matched as they are written, are known."""
+    tokens = json.loads(Path(vocabulary).read_text())["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError(f"{vocabulary}: added tokens that look at their surroundings are not supported")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 class Packing:
     """One individual: the bin of each item, and each bin's fill."""
 

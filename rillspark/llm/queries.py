@@ -13,7 +13,7 @@ from rillspark.llm.embed_dedup import embedding_groups
 from rillspark.llm.exact_dedup import exact_groups
 from rillspark.llm.minhash import near_groups
 from rillspark.llm.mixing import mix, taken_per_document
-from rillspark.llm.packing import pack, token_pieces
+from rillspark.llm.packing import added_tokens, pack, token_pieces
 from rillspark.llm.sharding import shard
 
 from rillspark.llm.suffix_dedup import remove_repeats
@@ -53,7 +53,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, capacity=1024, end_id=2)
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, capacity=1024, end_id=2, added=added)
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=1024)
 
 

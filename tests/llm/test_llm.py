@@ -187,6 +187,22 @@ def test_packing_white_space_and_empty(spark, none):
     assert queries.packed(none).count() == 0
 
 
+def test_added_tokens_inside_texts_are_those_of_tokenizers(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"{mark}{mark} x", f"a  {mark}  b", f"é\n\n{mark}\n\nc ", f"x{mark}y", "<|endoftext|", f"<|{mark}|>", "<|ENDOFTEXT|>", f"{mark} w" * 900, "plain  text"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = queries.packed(df).toPandas()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, text in enumerate(texts):
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        mine = out[out["doc_id"] == i].sort_values("piece")
+        assert mine["length"].sum() == len(want)
+        assert [zlib.crc32(want[s : s + n].tobytes()) for s, n in zip(mine["start"], mine["length"])] == mine["ids_crc32"].tolist()
+
+
 def test_evolution_never_gets_worse_and_meets_the_bound():
     rng = np.random.default_rng(2)
     lengths = np.sort(rng.integers(1, 1024, 600))[::-1].astype(np.int64)
