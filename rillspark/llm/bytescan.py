@@ -73,10 +73,8 @@ def window_hash(sums: np.ndarray, powers: Powers, start: np.ndarray, end: np.nda
     return (sums[end] - sums[start]) * powers.down[start]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, A-Z lower-cased, in order, and how many words each text has."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte and the end of every word, in order. ``data`` is not empty."""
     text = ~SPACE[data]
     begins, ends = text.copy(), text.copy()
     begins[1:] &= ~text[:-1]
@@ -84,7 +82,14 @@ def words(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.nda
     inner = offsets[(offsets > 0) & (offsets < len(data))]
     begins[inner] |= text[inner]
     ends[inner - 1] |= text[inner - 1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word, A-Z lower-cased, in order, and how many words each text has."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    start, end = word_spans(data, offsets)
     hashes = mixed(window_hash(prefix_sums(data, powers, LOWER_CODE), powers, start, end))
     return hashes, np.diff(np.searchsorted(start, offsets))
 

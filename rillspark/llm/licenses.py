@@ -3,11 +3,12 @@
 Paragraphs are lines; longer ones are read in overlapping windows. Word 1- and 2-grams are hashed into ``BUCKETS``
 weights per family, so a window's evidence is a sum of table rows. The network of classes has one for unknown text; a
 prediction counts if its calibrated probability passes a threshold set on unknown paragraphs that training never saw,
-and if the window shares enough word 3-grams with a template of that family.
+and if the window shares enough word 3-grams with a template of that family, punctuation around words left out.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ from rillspark.llm import bytescan
 from rillspark.llm.common import small_batches
 
 BUCKETS, WINDOW, STRIDE = 1 << 15, 48, 24
+EDGES = string.punctuation.encode()
 
 # How the families are commonly announced.
 TEMPLATES = {
@@ -95,7 +97,7 @@ class Scanner:
     weights: np.ndarray  # BUCKETS + 1 rows, the last is the bias; a column per family and one for unknown text
     temperature: float
     threshold: float
-    shapes: list[np.ndarray]  # the templates' 3-gram hashes of each family
+    shapes: list[list[set]]  # the 3-grams of plain words of each family's templates
 
     def evidence(self, hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Calibrated class probabilities of word windows."""
@@ -117,6 +119,7 @@ class Scanner:
         for _, data, offsets in bytescan.pieces(column):
             hashes, counts, owner = text_words(data, offsets, powers)
             paragraph, first, end = paragraph_windows(counts)
+            spans = None
             hits: dict[int, list[tuple[int, int, float]]] = {}
             for a in range(0, len(first), 1 << 14):
                 lo, hi = first[a : a + (1 << 14)], end[a : a + (1 << 14)]
@@ -124,7 +127,9 @@ class Scanner:
                 p = self.evidence(hashes[base:stop], lo - base, hi - base)
                 best = p.argmax(axis=1)
                 for i in np.flatnonzero((best < len(self.families)) & (p.max(axis=1) >= self.threshold)).tolist():
-                    if self.confirmed(hashes[lo[i] : hi[i]], int(best[i])):
+                    spans = bytescan.word_spans(data, offsets) if spans is None else spans
+                    window = [data[s:e].tobytes() for s, e in zip(spans[0][lo[i] : hi[i]], spans[1][lo[i] : hi[i]], strict=True)]
+                    if self.confirmed(window, int(best[i])):
                         hits.setdefault(int(owner[paragraph[a + i]]), []).append((int(paragraph[a + i]), int(best[i]), float(p[i, best[i]])))
             read = np.bincount(owner[counts > 0], minlength=len(offsets) - 1)
             for t in range(len(offsets) - 1):
@@ -132,10 +137,22 @@ class Scanner:
                 out.append((sorted({self.families[f] for _, f, _ in found}), max((x for *_, x in found), default=0.0), int(read[t]), len({k for k, *_ in found})))
         return out
 
-    def confirmed(self, window: np.ndarray, family: int) -> bool:
-        """Whether the window shares three 3-grams, or all but one of the few it has, with the family's templates."""
-        grams = three_grams(window)
-        return len(grams) > 0 and int(np.isin(grams, self.shapes[family]).sum()) >= min(3, max(1, len(grams) - 1))
+    def confirmed(self, window: list[bytes], family: int) -> bool:
+        """Whether the window shares three 3-grams, or all but one of the few it has, with the family's templates.
+
+        Half of the 3-grams of one template, two at least, are enough too: short templates have only three.
+        """
+        grams = plain_grams(window)
+        shared = len(grams & set().union(*self.shapes[family]))
+        if grams and shared >= min(3, max(1, len(grams) - 1)):
+            return True
+        return any(len(grams & t) >= max(2, -(-len(t) // 2)) for t in self.shapes[family])
+
+
+def plain_grams(words: list[bytes]) -> set[tuple[bytes, ...]]:
+    """The 3-grams of words in lower case without punctuation at their edges; words of nothing else are left out."""
+    plain = [w for w in (word.lower().strip(EDGES) for word in words) if w]
+    return set(zip(plain, plain[1:], plain[2:]))
 
 
 def three_grams(words: np.ndarray) -> np.ndarray:
@@ -153,8 +170,8 @@ def hashed_words(texts: list[str]) -> list[np.ndarray]:
 def fit(unknown: list[str], seed: int = 3, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4, false_rate: float = 0.001) -> Scanner:
     """Train on cuts of the templates set in unknown text, and on unknown paragraphs; a fifth calibrates."""
     rng, families = np.random.default_rng(seed), sorted(TEMPLATES)
-    shapes = [np.unique(np.concatenate([three_grams(w) for w in hashed_words(TEMPLATES[f])])) for f in families]
-    every = np.concatenate(shapes)
+    shapes = [[plain_grams(t.encode().split()) for t in TEMPLATES[f]] for f in families]
+    every = np.unique(np.concatenate([three_grams(w) for f in families for w in hashed_words(TEMPLATES[f])]))
     foreign = [w for w in hashed_words(unknown) if len(w) and not np.isin(three_grams(w), every).any()] if unknown else []
     rows, label = [w[:WINDOW] for w in foreign], [len(families)] * len(foreign)
     for f, family in enumerate(families):

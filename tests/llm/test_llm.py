@@ -228,6 +228,16 @@ def test_licences_are_found_and_unknown_text_is_not():
     assert found[:4] == [["mit"], ["gpl"], ["cc-by-nc"], []] and found[4:7] == [[], [], []] and found[7] == ["apache"]
 
 
+def test_inline_notices_are_confirmed():
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 8)))
+    unknown = [" ".join(word() for _ in range(30)) for _ in range(300)]
+    scanner = licenses.fit(unknown)
+    texts = ["This code is licensed under the MIT License, see LICENSE", "Project licensed under CC BY 4.0", " ".join(unknown[1].split()[:12]) + " (Licensed under CC BY-NC 4.0); see there", "the license of a driver, see there"]
+    found = [x[0] for x in scanner.scan(pa.array(texts, pa.string()), bytescan.Powers())]
+    assert found == [["mit"], ["cc-by"], ["cc-by-nc"], []]
+
+
 def test_licence_edge_cases(docs, none):
     out = licenses.licences(docs, licenses.train(docs)).collect()
     assert len(out) == docs.count() and all(r["families"] == [] for r in out)
