@@ -1,7 +1,7 @@
 """Vectorised scans over the UTF-8 bytes of Arrow string columns: polynomial hashes, words and shingles.
 
 The hash of bytes [s, e) is the sum of code[b_i] * BASE^(i - s) modulo 2^64, taken from prefix sums, so any window costs
-two reads. All arrays cover one piece of about ``PIECE`` bytes of whole texts, so memory does not grow with the batch.
+two reads. Arrays cover one piece of about ``PIECE`` bytes of whole texts, so memory does not grow with the batch.
 """
 
 from __future__ import annotations
@@ -86,12 +86,26 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def words(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, A-Z lower-cased, in order, and how many words each text has."""
+    """The hash of every word, A-Z lower-cased, in order, and how many words each text has.
+
+    Prefix sums are made for ``PIECE`` bytes at a time, so a very long text takes no more memory than its words need.
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     start, end = word_spans(data, offsets)
-    hashes = mixed(window_hash(prefix_sums(data, powers, LOWER_CODE), powers, start, end))
-    return hashes, np.diff(np.searchsorted(start, offsets))
+    hashes, base = np.zeros(len(start), np.uint64), np.uint64(0)
+    shift = np.zeros(len(start), np.uint64)
+    for low in range(0, len(data), PIECE):
+        sums = prefix_sums(data[low : low + PIECE], powers, LOWER_CODE)
+        up, down = (np.uint64(pow(int(x), low, 1 << 64)) for x in (BASE, BASE_INVERSE))
+        sums = sums * up + base
+        base = sums[-1]
+        a, b = np.searchsorted(start, [low, low + PIECE])
+        hashes[a:b] -= sums[start[a:b] - low]
+        shift[a:b] = powers.down[start[a:b] - low] * down
+        a, b = np.searchsorted(end, [low + 1, low + PIECE + 1])
+        hashes[a:b] += sums[end[a:b] - low]
+    return mixed(hashes * shift), np.diff(np.searchsorted(start, offsets))
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

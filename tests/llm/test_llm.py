@@ -405,6 +405,61 @@ def test_look_alikes_find_their_one_partner(spark):
     assert got == {i: i - i % 2 for i in texts}
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_copies_without_their_original_equal_brute_force(spark, kind):
+    """900 texts of one template with three words of 140 replaced: most lie below the threshold to any one hub."""
+    rng = np.random.default_rng(3)
+    texts = {}
+    for i in range(900):
+        words = [f"w{x}" for x in range(140)]
+        for at in rng.choice(140, 3, replace=False):
+            words[at] = f"r{rng.integers(1 << 30)}"
+        texts[i if kind == "long" else f"d{i:04d}"] = " ".join(words)
+    number: dict[tuple, int] = {}
+    has = np.zeros((900, 900 * 10 + 140), np.float32)
+    for i, text in enumerate(texts.values()):
+        w = text.split()
+        has[i, [number.setdefault(tuple(w[j : j + 3]), len(number)) for j in range(138)]] = 1
+    both, size = has @ has.T, has.sum(axis=1)
+    near = 100 * both >= 85 * (size[:, None] + size[None, :] - both)
+    label = np.arange(900)
+    while (new := np.where(near, label[None, :], 900).min(axis=1)).tolist() != label.tolist():
+        label = new
+    assert 200 < (label != np.arange(900)).sum() < 800
+    ids = list(texts)
+    df = spark.createDataFrame(list(texts.items()), f"doc_id {kind}, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(df, 3, 85).collect()}
+    assert got == {ids[i]: ids[k] for i, k in enumerate(label.tolist())}
+
+
+def test_cells_of_many_parts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CELL", 16)
+    rng = np.random.default_rng(5)
+    texts = {i: " ".join(f"w{x}" if rng.random() > 0.02 else f"r{i}x{x}" for x in range(100)) for i in range(150)}
+    label, _ = brute_components(texts, 3, 85)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_groups(df, 3, 85).collect()} == label
+
+
+def test_rows_that_share_or_lack_an_id_lose_only_near_copies(spark):
+    a, b = (" ".join(f"{name}{i}" for i in range(40)) for name in "ab")
+    data = [(1, a), (1, b), (2, a + " x"), (4, "lone text here"), (None, "c d e f"), (None, "C d  e f"), (None, None), (3, ""), (3, " ")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in minhash.near_dedup(df, 3, 85).collect()]
+    assert [(1, a) in kept, (1, b) in kept].count(True) == 1  # rows of one id are one node, of which one row stays
+    assert (2, a + " x") not in kept and (4, "lone text here") in kept and (None, None) in kept and (3, "") in kept and (3, " ") in kept
+    assert len([t for i, t in kept if i is None and t]) == 1
+
+
+def test_words_of_long_texts_are_hashed_in_pieces(monkeypatch):
+    text = ("Ab c  déf " * 3000 + "x" * 5000 + " end").encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = bytescan.words(data, offsets, bytescan.Powers())
+    monkeypatch.setattr(bytescan, "PIECE", 997)
+    parts = bytescan.words(data, offsets, bytescan.Powers())
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all() and len(np.unique(whole[0])) == 5
+
+
 def test_near_edge_cases(docs, none):
     out = minhash.near_groups(docs)
     assert out.count() == docs.count()
