@@ -6,18 +6,19 @@ Blockwise construction with a difference cover. Suffixes are compared by their f
    (the smallest hash, the first of equals). Equal strings have equal anchors at equal distances, so equal suffixes
    share a bucket. Neighbouring suffixes share an anchor: one row stands for about a hundred of them, with a
    fingerprint of all the bytes that they cover.
-2. Whole rows. Rows with equal fingerprints repeat as they are. A gram that only one row has repeats nowhere. What is
-   left are buckets whose rows differ somewhere: edges of repeated passages and edited copies.
-3. Blockwise sort. Only those rows fetch their bytes, and each task sorts a few buckets at a time: by the first and the
-   last ``COVER`` bytes of a suffix, and where these tie by the rank of a cover sample. For any two positions i, j there
-   is a shift k < COVER such that i + k and j + k are both sampled, so ranks are kept for one position in seven.
-4. A bucket of over ``most`` different rows isn't sorted in one task: each of its suffixes is spread by a 128-bit
-   fingerprint of its ``span`` bytes and counted, which needs no bucket.
+2. Whole rows. Rows with equal anchors and fingerprints, two hashes over different codes, repeat as they are; one of them
+   stands for all. A gram that only one kind of row has needs no sort. What is left are buckets whose rows differ
+   somewhere: edges of repeated passages and edited copies.
+3. Blockwise sort. Only those rows fetch their bytes, and each task sorts a few buckets at a time in byte order: suffixes
+   by the rank of their first ``COVER`` bytes, and where these tie, by comparison of the ranks of cover samples. For any
+   two positions i, j there is a shift k < COVER such that i + k and j + k are both sampled, so the long ranks are kept
+   for one position in seven. All ranks come from comparing bytes, by doubling; no hash decides a tie.
+4. A bucket of over ``most`` different rows would not fit a block. It is split on the bytes that follow: its suffixes are
+   spread by a 128-bit fingerprint of all their ``span`` bytes, so that what shares a bucket then is equal.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from rillspark.llm.common import small_batches, staged
 COVER = 73
 GRAM = 100
 ROW = ["doc_id", "text_id"]
+#: Codes of bytes for the second of two fingerprints.
+OTHER_CODE = np.random.default_rng(8).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def difference_cover(r: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -59,16 +62,27 @@ def window_minimum(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
+def stretches(first: int, data: np.ndarray, offsets: np.ndarray, span: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """A piece as it is, or a very long text in parts that overlap so that each suffix is in one: (row, start, bytes, offsets)."""
+    if len(offsets) > 2 or len(data) <= 2 * bytescan.PIECE:
+        yield first, 0, data, offsets
+        return
+    for c in range(0, len(data) - span + 1, bytescan.PIECE):
+        end = min(len(data), c + bytescan.PIECE + span - 1)
+        yield first, c, data[c:end], np.array([0, end - c])
+
+
 def anchor_rows(docs: DataFrame, span: int) -> DataFrame:
     """(doc_id, text_id, low, high, at, gram, cover): suffixes low..high have their anchor at ``at``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = bytescan.Powers()
         for batch in batches:
-            for first, data, offsets in bytescan.pieces(batch.column(2)):
+            whole = (part for piece in bytescan.pieces(batch.column(2)) for part in stretches(*piece, span))
+            for first, skipped, data, offsets in whole:
                 if len(data) < span:
                     continue
-                sums = bytescan.prefix_sums(data, powers)
+                sums, others = bytescan.prefix_sums(data, powers), bytescan.prefix_sums(data, powers, OTHER_CODE)
                 start = np.arange(len(data) - GRAM + 1)
                 grams = bytescan.mixed((sums[GRAM:] - sums[:-GRAM]) * powers.down[start])
                 low = window_minimum((grams & np.uint64(0xFFFFFFFF00000000)) | start.astype(np.uint64), span - GRAM + 1)
@@ -82,10 +96,10 @@ def anchor_rows(docs: DataFrame, span: int) -> DataFrame:
                 new = np.r_[True, (at[s[1:]] != at[s[:-1]]) | (s[1:] != s[:-1] + 1) | (doc[s[1:]] != doc[s[:-1]])]
                 begin, end = s[new], s[np.r_[new[1:], True]]
                 p, d = at[begin], doc[begin]
-                cover = bytescan.mixed(bytescan.window_hash(sums, powers, begin, end + span))
+                cover = bytescan.mixed(bytescan.window_hash(others, powers, begin, end + span))
                 cover = bytescan.mixed(cover + (((p - begin) << 32) | (end - begin)).astype(np.uint64), 3)
                 rows = pa.array(first + d)
-                base = offsets[d]
+                base = offsets[d] - skipped
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(begin - base), pa.array(end - base), pa.array(p - base), pa.array(grams[p].view(np.int64)), pa.array(cover.view(np.int64))],
                     names=[*ROW, "low", "high", "at", "gram", "cover"],
@@ -98,7 +112,12 @@ def row_kind(docs: DataFrame) -> str:
     return f"doc_id {docs.select('doc_id').schema[0].dataType.simpleString()}, text_id bigint"
 
 
-def fetched(docs: DataFrame, rows: DataFrame, span: int) -> DataFrame:
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices start[i] .. start[i] + size[i] - 1, one run after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def fetched(docs: DataFrame, rows: DataFrame, span: int, most_bytes: int = 1 << 22) -> DataFrame:
     """``rows`` of one bucket each with their bytes; of crowded buckets, one line per suffix with its fingerprints."""
     lists = rows.groupBy(*ROW).agg(F.collect_list(F.struct("low", "high", "at", "gram", "known", "crowded")).alias("parts"))
     lists = lists.select(F.col("doc_id").alias("of"), F.col("text_id").alias("of_text"), "parts")
@@ -106,102 +125,163 @@ def fetched(docs: DataFrame, rows: DataFrame, span: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = bytescan.Powers()
-        other = np.random.default_rng(8).integers(1, 1 << 63, 256, dtype=np.uint64)
         for batch in batches:
-            row, low, high, at, gram, known, raw, one, two = [], [], [], [], [], [], [], [], []
-            for r, (text, parts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                data = text.encode()
-                sums = None
-                for x in parts:
-                    if not x["crowded"]:
-                        new = [(x["low"], x["high"], data[x["low"] : x["high"] + span], 0, 0)]
-                    else:
-                        if sums is None:
-                            flat = np.frombuffer(data, np.uint8)
-                            sums = [bytescan.prefix_sums(flat, powers, code) for code in (bytescan.CODE, other)]
-                        s = np.arange(x["low"], x["high"] + 1)
-                        prints = [bytescan.mixed(bytescan.window_hash(t, powers, s, s + span)).view(np.int64).tolist() for t in sums]
-                        new = [(i, i, None, a, b) for i, a, b in zip(s.tolist(), *prints, strict=True)]
-                    for a, b, c, d, e in new:
-                        row.append(r), low.append(a), high.append(b), raw.append(c), one.append(d), two.append(e)
-                        at.append(x["at"]), gram.append(x["gram"]), known.append(x["known"])
-            rows_ = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows_), batch.column(1).take(rows_), *(pa.array(c, pa.int64()) for c in (low, high, at, gram)), pa.array(known, pa.bool_()), pa.array(raw, pa.binary()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
-                names=[*ROW, "low", "high", "at", "gram", "known", "raw", "print_a", "print_b"],
-            )
+            texts = batch.column(2).cast(pa.large_binary())
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            parts = batch.column(3)
+            row_of = np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy()))
+            low, high, at, gram, known, crowded = (parts.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(6))
+            size = high - low + span
+            end = np.cumsum(size)
+            first = 0
+            while first < len(low):
+                last = max(first + 1, int(np.searchsorted(end, end[first] + most_bytes)))
+                i = np.arange(first, last)
+                first = last
+                raw = data[runs(offsets[row_of[i]] + low[i], size[i])]
+                where = np.cumsum(size[i]) - size[i]
+                plain, split = np.flatnonzero(~crowded[i]), np.flatnonzero(crowded[i])
+                n = high[i[split]] - low[i[split]] + 1
+                of, step = np.repeat(split, n), runs(np.zeros(len(n), np.int64), n)
+                prints = []
+                for code in (bytescan.CODE, OTHER_CODE) if len(of) else ():
+                    sums, s = bytescan.prefix_sums(raw, powers, code), where[of] + step
+                    prints.append(bytescan.mixed(bytescan.window_hash(sums, powers, s, s + span)).view(np.int64))
+                if len(plain):
+                    cuts = np.r_[0, np.cumsum(size[i[plain]])].astype(np.int32)
+                    own = pa.Array.from_buffers(pa.binary(), len(plain), [None, pa.py_buffer(cuts), pa.py_buffer(raw[runs(where[plain], size[i[plain]])].tobytes())])
+                    yield made(batch, row_of, i[plain], low[i[plain]], high[i[plain]], at, gram, known, own, pa.nulls(len(plain), pa.int64()), pa.nulls(len(plain), pa.int64()))
+                if len(of):
+                    s = low[i[of]] + step
+                    yield made(batch, row_of, i[of], s, s, at, gram, known, pa.nulls(len(of), pa.binary()), *map(pa.array, prints))
+
+    def made(batch: pa.RecordBatch, row_of: np.ndarray, i: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, gram: np.ndarray, known: np.ndarray, *rest: pa.Array) -> pa.RecordBatch:
+        where = pa.array(row_of[i])
+        columns = [batch.column(0).take(where), batch.column(1).take(where), pa.array(low), pa.array(high), pa.array(at[i]), pa.array(gram[i]), pa.array(known[i].astype(bool)), *rest]
+        return pa.RecordBatch.from_arrays(columns, names=[*ROW, "low", "high", "at", "gram", "known", "raw", "print_a", "print_b"])
 
     return joined.mapInArrow(work, f"{row_kind(docs)}, low bigint, high bigint, at bigint, gram bigint, known boolean, raw binary, print_a bigint, print_b bigint")
 
 
-def repeated_in_buckets(gram: np.ndarray, distance: np.ndarray, raws: list[bytes], span: int, powers: bytescan.Powers, cover: np.ndarray, shifts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For whole buckets: (row, offset in the row) of each suffix whose ``span`` bytes another suffix has as well.
-
-    ``distance`` is how far each row's anchor is from its first byte.
+def dense(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the different ones."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(np.r_[False, ranked[1:] != ranked[:-1]])
+    return out
+
+
+def later(ranks: np.ndarray, step: int) -> np.ndarray:
+    """Of each position the rank, from 1, of the one ``step`` further on; 0 beyond the end."""
+    return np.r_[ranks[step:] + 1, np.zeros(min(step, len(ranks)), np.int64)]
+
+
+def cover_ranks(data: np.ndarray, middle: int, cover: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks in byte order of the ``COVER`` bytes at every position, and of the ``middle`` bytes at the sampled ones (else 0)."""
+    n = len(data)
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    ranks = dense(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]).view(">u8").ravel().astype(np.uint64))
+    length = 8
+    while length < COVER:
+        step = min(length, COVER - length)
+        ranks = dense(ranks * (n + 1) + later(ranks, step))
+        length += step
+    sampled = np.isin(np.arange(COVER), cover)[np.arange(n) % COVER]
+    places = np.flatnonzero(sampled)
+    long = np.zeros(n + middle, np.int64)
+    long[places] = ranks[places] + 1
+    have = COVER
+    while 2 * have <= middle:  # a cover's positions repeat after COVER, so those that double the length are sampled too
+        long[places] = dense(long[places] * (n + 1) + long[places + have]) + 1
+        have *= 2
+    short = np.r_[ranks + 1, np.zeros(middle, np.int64)]
+    while have < middle:
+        step = min(have, middle - COVER)
+        long[places] = dense(long[places] * (n + 1) + short[places + step]) + 1
+        have = step + COVER
+    return ranks, long
+
+
+def repeated_in_buckets(data: np.ndarray, sizes: np.ndarray, span: int, cover: np.ndarray, shifts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of bytes: (row, offset in the row) of each suffix whose ``span`` bytes another suffix has as well.
+
+    The suffixes are sorted by their first bytes' ranks, and ties by quicksort in three parts on cover ranks, all groups
+    of ties at once: what equals a pivot is settled, what is smaller or larger goes on.
     """
-    sizes = np.array([len(x) for x in raws])
-    data = np.frombuffer(b"".join(raws), np.uint8)
     base = np.cumsum(sizes) - sizes
     n = sizes - span + 1
-    row = np.repeat(np.arange(len(raws)), n)
-    offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    row = np.repeat(np.arange(len(sizes)), n)
+    offset = runs(np.zeros(len(n), np.int64), n)
     s = base[row] + offset
-    sums = bytescan.prefix_sums(data, powers)
-    middle = span - COVER
-    sampled = np.isin(np.arange(COVER), cover)
-    places = np.flatnonzero(sampled[np.arange(max(0, len(data) - middle + 1)) % COVER])
-    rank_at = np.zeros(len(data) + 1, np.int32)
-    rank_at[places] = np.unique(bytescan.window_hash(sums, powers, places, places + middle), return_inverse=True)[1]
-    head = bytescan.mixed(bytescan.window_hash(sums, powers, s, s + COVER) + gram[row].view(np.uint64), 5)
-    key = bytescan.mixed(head + bytescan.window_hash(sums, powers, s + middle, s + span), 6)
-    key = key + (distance[row] - offset).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    order = np.argsort(key, kind="stable")
+    ranks, long = cover_ranks(data, span - COVER, cover)
     found = np.zeros(len(s), bool)
-    while len(order) > 1:
-        k = key[order]
-        first = np.r_[True, k[1:] != k[:-1]]
-        leader = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-        shift = shifts[s[leader] % COVER, s[order] % COVER]
-        same = rank_at[s[leader] + shift] == rank_at[s[order] + shift]
-        twin = same & ~first
-        found[order[twin]] = True
-        found[leader[twin]] = True
-        order = order[~same]
+    active, group = np.arange(len(s)), ranks[s]
+    while len(active):
+        order = np.argsort(group, kind="stable")
+        active, group = active[order], group[order]
+        new = np.r_[True, group[1:] != group[:-1]]
+        start = np.flatnonzero(new)
+        size = np.diff(np.r_[start, len(active)])
+        pivot = np.repeat(active[start + size // 2], size)
+        a, b = s[active], s[pivot]
+        shift = shifts[a % COVER, b % COVER]
+        side = np.sign(long[a + shift] - long[b + shift])
+        tail = span - COVER
+        side = np.where(side == 0, np.sign(ranks[a + tail] - ranks[b + tail]), side)
+        equal = np.add.reduceat((side == 0).astype(np.int64), start)
+        found[active[(side == 0) & np.repeat(equal > 1, size)]] = True
+        on = side != 0
+        active, group = active[on], (2 * np.cumsum(new) + (side > 0))[on]
+        lone = np.bincount(group, minlength=1)[group] == 1
+        active, group = active[~lone], group[~lone]
     return row[found], offset[found]
 
 
 def sorted_buckets(parts: DataFrame, span: int, batch_bytes: int = 1 << 21) -> DataFrame:
     """(doc_id, text_id, low, high) of repeated suffixes, from rows that carry bytes, sorted a few buckets at a time."""
 
-    def solve(rows: list[dict], tools: tuple) -> pa.RecordBatch:
-        gram = np.array([x["gram"] for x in rows], np.int64)
-        distance = np.array([x["at"] - x["low"] for x in rows], np.int64)
-        row, offset = repeated_in_buckets(gram, distance, [x["raw"] for x in rows], span, *tools)
+    def solve(table: pa.Table, tools: tuple) -> pa.RecordBatch:
+        raw = table["raw"].chunk(0)
+        ends = raw.offset + np.arange(len(raw) + 1)
+        offsets = np.frombuffer(raw.buffers()[1], np.int32)[ends].astype(np.int64)
+        data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        row, offset = repeated_in_buckets(data, np.diff(offsets), span, *tools)
+        open_rows = ~table["known"].to_numpy()[row] if len(row) else np.zeros(0, bool)
+        row, offset = row[open_rows], offset[open_rows]
         order = np.lexsort((offset, row))
         row, offset = row[order], offset[order]
         new = np.r_[True, (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)] if len(row) else np.zeros(0, bool)
         begin, end = np.flatnonzero(new), np.flatnonzero(np.r_[new[1:], True]) if len(row) else np.zeros(0, np.int64)
-        out = [(rows[r]["doc_id"], rows[r]["text_id"], rows[r]["low"] + a, rows[r]["low"] + b) for r, a, b in zip(row[begin].tolist(), offset[begin].tolist(), offset[end].tolist(), strict=True) if not rows[r]["known"]]
-        return pa.RecordBatch.from_pylist([dict(zip([*ROW, "low", "high"], x, strict=True)) for x in out], schema=schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(parts.select(*ROW, "low", "high").schema)
+        where, low = pa.array(row[begin]), table["low"].to_numpy()[row[begin]]
+        columns = [table[c].chunk(0).take(where) for c in ROW]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(low + offset[begin]), pa.array(low + offset[end])], names=[*ROW, "low", "high"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = (bytescan.Powers(), *difference_cover())
-        rows, size = [], 0
+        tools = difference_cover()
+        held, size, last = [], 0, None
         for batch in batches:
-            for x in batch.to_pylist():
-                if size > batch_bytes and x["gram"] != rows[-1]["gram"]:
-                    yield solve(rows, tools)
-                    rows, size = [], 0
-                rows.append(x)
-                size += len(x["raw"])
-        if rows:
-            yield solve(rows, tools)
+            gram = batch.column(4).to_numpy()
+            length = np.diff(np.frombuffer(batch.column(6).buffers()[1], np.int32)[batch.column(6).offset :][: len(batch) + 1])
+            cuts = [0, *(np.flatnonzero(gram[1:] != gram[:-1]) + 1).tolist(), len(gram)]
+            begin = 0
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if size > batch_bytes and gram[a] != last:
+                    if a > begin:
+                        held.append(batch.slice(begin, a - begin))
+                    yield solve(pa.Table.from_batches(held).combine_chunks(), tools)
+                    held, size, begin = [], 0, a
+                last = gram[a]
+                size += int(length[a:b].sum())
+            if begin < len(batch):
+                held.append(batch.slice(begin))
+        if held:
+            yield solve(pa.Table.from_batches(held).combine_chunks(), tools)
 
-    return parts.repartition("gram").sortWithinPartitions("gram").select(*ROW, "low", "high", "at", "gram", "known", "raw").mapInArrow(work, f"{row_kind(parts)}, low bigint, high bigint")
+    return parts.repartition("gram").sortWithinPartitions("gram").select(*ROW, "low", "high", "gram", "known", "raw").mapInArrow(work, f"{row_kind(parts)}, low bigint, high bigint")
 
 
 def repeated_spans(docs: DataFrame, span: int, most: int) -> DataFrame:
@@ -226,6 +306,8 @@ def remove_repeats(docs: DataFrame, span: int = 400, most: int = 256, id_col: st
     Strings are judged on the input, may overlap, and never cross rows; copies within a row count. Null texts are empty.
     Shorter texts than ``span`` stay whole. Rows that repeat an id and a text are treated alike, each a copy of the other.
     """
+    if span < 2 * COVER:
+        raise ValueError(f"span must be {2 * COVER} or more")
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     plain = plain.withColumn("text_id", F.xxhash64("text")).select(*ROW, "text")
