@@ -1,19 +1,21 @@
 """Sharding by fixed virtual slots.
 
 Records hash into thousands of virtual slots, whose number never changes. Bytes are summed per slot, and a versioned
-map gives each slot its shard. Version 0 deals the slots out in turn; a later version is made from the one before by
-moving slots from the fullest to the emptiest shards. Only the map's rows (slots times versions) reach the driver.
+map gives each slot its shard. The map is a table in a shared folder. Version 0 deals the slots out in turn; a later
+version is made from the last one that is stored, by moving slots from the fullest to the emptiest shards, and appended.
+Only the map's rows (slots times versions) and the sums of slots reach the driver.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillspark.llm.common import staged
+from rillspark.llm.common import shared_dir, staged
 
 
 @dataclass
@@ -37,7 +39,7 @@ class SlotMap:
         now, mean = self.versions[-1], sum(weight) / self.shards
         load, moving = [0] * self.shards, []
         for s in sorted(range(self.slots), key=lambda s: (-weight[s], s)):
-            if load[now[s]] + weight[s] <= mean:
+            if now[s] < self.shards and load[now[s]] + weight[s] <= mean:
                 load[now[s]] += weight[s]
             else:
                 moving.append(s)
@@ -50,20 +52,30 @@ class SlotMap:
         self.versions.append(new)
         return len(self.versions) - 1
 
-    def to_df(self, spark: SparkSession) -> DataFrame:
-        rows = [(v, s, k) for v, m in enumerate(self.versions) for s, k in enumerate(m)]
+    def to_df(self, spark: SparkSession, first: int = 0) -> DataFrame:
+        """The versions from ``first`` on."""
+        rows = [(v, s, k) for v, m in enumerate(self.versions) if v >= first for s, k in enumerate(m)]
         return spark.createDataFrame(rows, "map_version int, virtual_slot int, shard int")
 
-    def write(self, spark: SparkSession, path: str) -> None:
-        self.to_df(spark).write.partitionBy("map_version").mode("overwrite").parquet(path)
+    def write(self, spark: SparkSession, path: str, first: int = 0) -> None:
+        """Append the versions from ``first`` on to the table at ``path``; what is stored stays."""
+        self.to_df(spark, first).coalesce(1).write.partitionBy("map_version").mode("append").parquet(path)
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> SlotMap:
+    def read(cls, spark: SparkSession, path: str, shards: int) -> SlotMap:
         rows = spark.read.parquet(path).orderBy("map_version", "virtual_slot").collect()
         versions: list[list[int]] = [[] for _ in range(1 + max(r["map_version"] for r in rows))]
         for r in rows:
             versions[r["map_version"]].append(r["shard"])
-        return cls(1 + max(map(max, versions)), len(versions[0]), versions)
+        return cls(shards, len(versions[0]), versions)
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str, shards: int, slots: int) -> SlotMap:
+        """The map at ``path``, or a new one, stored there as version 0."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            cls(shards, slots).write(spark, path)
+        return cls.read(spark, path, shards)
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, overhead: int) -> DataFrame:
@@ -80,34 +92,40 @@ def sized(docs: DataFrame, id_col: str, text_col: str, overhead: int) -> DataFra
 def shard(docs: DataFrame, shards: int = 24, slots: int = 8192, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, path: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Give every row of ``docs`` a virtual slot, a shard and a place in it, so that the shards' bytes are near equal.
 
-    Rows with equal texts share a virtual slot and so a shard, but for texts whose copies weigh over half a shard: their
-    number is under twice ``shards``, and their rows are salted over all slots by id. Returns (id, size, text_crc32,
-    virtual_slot, map_version, shard, place) and the map, which is also written to ``path`` if given. ``place`` counts
-    from 0 without gaps within a shard: slots lie one after another, rows in a slot by id. Null ids, repeated rows and
+    The map is stored at ``path`` (a new folder of the shared one if none is given): a run starts from its last version
+    and appends one. Rows with equal texts share a virtual slot and so a shard, but for texts whose copies weigh over half
+    a shard: their number is under twice ``shards``, and their rows are salted over all slots by id. Returns (id, size,
+    text_crc32, virtual_slot, map_version, shard, place) and the map. ``place`` counts from 0 without gaps within a shard:
+    slots lie one after another; a slot of very many short rows is numbered in several tasks. Null ids, repeated rows and
     empty tables are allowed; a null text weighs ``overhead`` and is grouped with nothing.
     """
     spark = docs.sparkSession
-    rows = staged(sized(docs, id_col, text_col, overhead), "sizes")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    heavy = rows.groupBy("text_hash").agg(F.sum("size").alias("w")).where(F.col("w") > max(1, total / (2 * shards))).select("text_hash", F.lit(True).alias("heavy"))
+    path = path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    rows = staged(sized(docs, id_col, text_col, overhead).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    whole = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
+    heavy = rows.groupBy("text_hash").agg(F.sum("size").alias("w")).where(F.col("w") > max(1, (whole["bytes"] or 0) / (2 * shards))).select("text_hash", F.lit(True).alias("heavy"))
     salted = F.when(F.col("heavy"), F.xxhash64("text_hash", id_col)).otherwise(F.col("text_hash"))
     rows = rows.join(F.broadcast(heavy), "text_hash", "left").withColumn("virtual_slot", F.pmod(salted, F.lit(slots)).cast("int"))
-    rows = rows.select(id_col, "size", "text_crc32", "virtual_slot")
+    rows = rows.select(id_col, "size", "text_crc32", "virtual_slot", "row")
 
     sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()  # a row per slot
-    weight, count = [0] * slots, [0] * slots
+    weight = [0] * slots
     for r in sums:
-        weight[r["virtual_slot"]], count[r["virtual_slot"]] = r["w"], r["n"]
-    slot_map = SlotMap(shards, slots)
+        weight[r["virtual_slot"]] = r["w"]
+    slot_map = SlotMap.stored(spark, path, shards, slots)
     version = slot_map.rebalance(weight)
-    if path:
-        slot_map.write(spark, path)
+    slot_map.write(spark, path, version)
 
+    # A slot has a part per thousandth of all rows, so all parts together are under 1,000 more than the slots.
+    most = max(1, whole["rows"] // 1000)
+    parts = spark.createDataFrame([(r["virtual_slot"], 1 + r["n"] // most) for r in sums], "virtual_slot int, parts long")
+    rows = rows.join(F.broadcast(parts), "virtual_slot").withColumn("part", F.pmod("row", "parts"))
     base, start = [0] * shards, []
-    for s, k in enumerate(slot_map.versions[version]):
-        start.append((s, version, k, base[k]))
-        base[k] += count[s]
-    places = spark.createDataFrame(start, "virtual_slot int, map_version int, shard int, base long")
-    nth = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(id_col, "size", "text_crc32"))
-    out = rows.withColumn("nth", nth).join(F.broadcast(places), "virtual_slot").withColumn("place", F.col("base") + F.col("nth") - 1)
+    for r in rows.groupBy("virtual_slot", "part").agg(F.count("*").alias("n")).orderBy("virtual_slot", "part").collect():
+        k = slot_map.versions[version][r["virtual_slot"]]
+        start.append((r["virtual_slot"], r["part"], version, k, base[k]))
+        base[k] += r["n"]
+    places = spark.createDataFrame(start, "virtual_slot int, part long, map_version int, shard int, base long")
+    nth = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy(id_col, "size", "text_crc32", "row"))
+    out = rows.withColumn("nth", nth).join(F.broadcast(places), ["virtual_slot", "part"]).withColumn("place", F.col("base") + F.col("nth") - 1)
     return out.select(id_col, "size", "text_crc32", "virtual_slot", "map_version", "shard", "place"), slot_map
