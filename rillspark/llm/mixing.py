@@ -1,11 +1,12 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source's documents are shuffled; a document that may be taken several times stands in line once per pass. Its
-virtual finish time is the source's cumulative words divided by the source's target, so all sources run out of their
-targets at the same virtual time, 1, where the total budget is spent and the line is cut.
+virtual finish time is the source's cumulative words divided by the source's target. All rows are then sorted by finish
+time in ranges, the ranges' words are added up, and the line is cut where the running total meets the budget. That is at
+virtual time 1; the one document of each source that is in service there gives the words that its source's target leaves.
 
 Cumulative sums never meet in one task: a source's line is split into ``spans`` ranges of the shuffle key, the ranges'
-sums are added up first, and rows are only counted within a range.
+sums are added up first, and rows are only counted within a range. The global sum over finish times goes the same way.
 """
 
 from __future__ import annotations
@@ -43,15 +44,19 @@ def targets(sizes: DataFrame, weights: list[float], budget: float, most: float,
 
 
 def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), budget: float = 1.5, passes: int = 2, spans: int = 1024, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per document and pass: (id, source, pass, size, source_size, target, finish, taken).
+    """One row per document and pass: (id, source, pass, size, source_size, target, finish, total, taken).
 
-    ``taken`` words of the document are taken in that pass: all of them up to the source's target, a part of the one at
-    the cut, none after it. Sources with a null name mix as one source; texts without words take part with size 0; the
-    order is that of md5(id:pass), so reruns agree; repeated ids are told apart by size alone, which leaves sums alike.
+    ``taken`` words of the document are taken in that pass: all of them before the cut, a part of the one in service at
+    it, none after it. ``total`` counts the words up to the row in order of finish. Sources with a null name mix as one
+    source; texts without words take part with size 0; the order is that of md5(id:pass), so reruns agree; repeated ids
+    are told apart by size alone, which leaves sums alike. A source's line has at least ``spans`` ranges, and more so
+    that none has over about 65,536 documents.
     """
     rows = docs.select(F.col(id_col), F.col(source_col), word_count(F.col(text_col)).alias("size"))
     rows = staged(rows, "word-counts")
-    wanted = targets(rows.groupBy(source_col).agg(F.sum("size").alias("source_size")), list(weights), budget, passes, source_col)
+    spans = max(spans, rows.count() >> 16)
+    wanted = staged(targets(rows.groupBy(source_col).agg(F.sum("size").alias("source_size")), list(weights), budget, passes, source_col), "targets")
+    words_wanted = wanted.agg(F.sum(F.floor("target"))).first()[0] or 0
     wanted = wanted.withColumnRenamed(source_col, "of")
 
     line = rows.withColumn("pass", F.explode(F.array(*[F.lit(k) for k in range(passes)])))
@@ -67,21 +72,32 @@ def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), budget: float = 1.5,
     within = Window.partitionBy(source_col, *place).orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
     line = line.withColumn("upto", F.sum("size").over(within))
     line = line.join(sums, line[source_col].eqNullSafe(sums["of"]) & (line["pass"] == sums["pass"]) & (line["span"] == sums["span"])).drop(sums["pass"]).drop(sums["span"])
-    end = F.col("base") + F.col("upto")
-    left = F.floor(F.col("target")).cast("long") - (end - F.col("size"))
-    return line.select(
-        id_col, source_col, "pass", "key", "size", "source_size", "target", "weight",
-        (end / F.col("target")).alias("finish"), F.greatest(F.lit(0), F.least("size", left)).cast("long").alias("taken"),
-    )
+    line = line.withColumn("end", F.col("base") + F.col("upto")).withColumn("finish", F.coalesce(F.try_divide("end", "target"), F.lit(0.0)))
+    line = line.select(id_col, source_col, "pass", "key", "size", "source_size", "target", "weight", "end", "finish")
+
+    order = ["finish", "key", "size"]
+    line = staged(line.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "finish-order")
+    ranges = line.groupBy("range").agg(F.sum("size").alias("words"))  # a row per partition
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("words before"))
+    upto = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("in range", F.sum("size").over(upto)).join(F.broadcast(ranges), "range")
+    line = line.withColumn("total", F.col("words before") + F.col("in range"))
+    share = F.floor("target").cast("long")
+    whole = (F.col("total") <= words_wanted) & (F.col("end") <= share)
+    part = F.greatest(F.lit(0), F.least("size", share - (F.col("end") - F.col("size"))))
+    taken = F.when(whole, F.col("size")).otherwise(part).cast("long")
+    return line.select(id_col, source_col, "pass", "key", "size", "source_size", "target", "weight", "finish", "total", taken.alias("taken"))
 
 
 def taken_per_document(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, size, source_size, target, taken): each document's words over all passes. Repeated rows come out repeated.
 
-    A document's passes are put together by its id; rows that share an id are told apart by their order in it.
+    A document's passes are put together by its id; rows that share an id are told apart by size and source, or else by
+    their order.
     """
-    nth = Window.partitionBy(id_col, "pass").orderBy("size", "taken")
     keys = [id_col, "size", "source_size", "target"]
+    nth = Window.partitionBy(*keys, "pass").orderBy("taken")
     return mixed.withColumn("nth", F.row_number().over(nth)).groupBy(*keys, "nth").agg(F.sum("taken").alias("taken")).select(*keys, "taken")
 
 
