@@ -9,27 +9,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.llm.common import WORD, staged
+from rillspark.llm.common import WORD, dropped, staged
 
 #: What a field's value may be, by the name that Spark gives a JSON value's type.
 KINDS = {"string": ["STRING"], "integer": ["BIGINT", "DECIMAL"], "number": ["BIGINT", "DECIMAL", "DOUBLE"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"]}
 
 
-def topological_levels(calls: DataFrame, id_col: str = "call_id", parent_col: str = "depends_on", rounds: int = 40) -> DataFrame:
-    """(id, level): 0 without a known parent, else one above it; null on a cycle. Ids must be unique.
+def topological_levels(calls: DataFrame, id_col: str = "call_id", parent_col: str = "depends_on") -> DataFrame:
+    """(id, level): 0 without a known parent, else one above it; null on a cycle and above one. Ids must be unique.
 
     Pointer doubling: after k joins every call knows its ancestor 2^k steps up, so even one chain of all calls takes a
-    logarithmic number of rounds.
+    logarithmic number of rounds. A call that still has an ancestor then stands on a cycle, or depends on one.
     """
     known = calls.select(id_col, F.col(parent_col).alias("up"))
     exists = calls.select(F.col(id_col).alias("up"))
-    now = known.join(exists, "up", "left_semi").withColumn("level", F.lit(1)).unionByName(known.join(exists, "up", "left_anti").select(F.lit(None).cast("string").alias("up"), id_col, F.lit(0).alias("level")))
+    rooted = known.join(exists, "up", "left_semi").withColumn("level", F.lit(1).cast("long"))
+    now = rooted.unionByName(known.join(exists, "up", "left_anti").select(F.lit(None).cast("string").alias("up"), id_col, F.lit(0).cast("long").alias("level")))
     now = staged(now.select(id_col, "up", "level"), "levels")
-    for _ in range(rounds):
+    for _ in range(now.count().bit_length()):
         if not now.where("up is not null").head(1):
             break
         above = now.select(F.col(id_col).alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
-        now = staged(now.join(above, "up", "left").select(id_col, F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "levels")
+        new = staged(now.join(above, "up", "left").select(id_col, F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "levels")
+        dropped(now)
+        now = new
     return now.select(id_col, F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 
