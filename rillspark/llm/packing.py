@@ -27,14 +27,17 @@ from rillspark.llm.common import small_batches, staged
 
 #: The alternative of the split pattern that leaves the last of several white-space characters to the next word.
 LOOK_AHEAD = r"\s+(?!\S)|"
+LONG_GAP = 50_000
 
 
-def token_pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", added: dict[str, int] | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", added: dict[str, int] | None = None, vocabulary: str | None = None) -> DataFrame:
     """(id, piece, start, length, ids) for each piece of each text: ``ids`` holds little-endian unsigned 32-bit token ids.
 
     A document is its text's byte-pair tokens, from the vocabulary file of ``ranks`` that each executor reads, and then
     ``end_id``. A longer one is cut so that only its first piece may be shorter than ``capacity``. Null texts are empty.
     Strings of ``added`` are one token wherever they stand in a text; what lies between them is split on its own.
+    ``vocabulary`` is the same vocabulary as a ``tokenizers`` file: it takes texts with a run of over ``LONG_GAP`` white
+    space, on which the pattern's look-ahead runs out of stack.
     """
     small_batches(docs.sparkSession)
 
@@ -46,10 +49,20 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024
         # The look-ahead only matters where white space follows white space; without it the pattern runs twice as fast.
         plain, exact = (tiktoken.Encoding("vocabulary", pat_str=p, mergeable_ranks=merges, special_tokens={}) for p in (pattern.replace(LOOK_AHEAD, ""), pattern))
         gap = re.compile(r"\s\s")
+        long_gap = re.compile(rf"\s{{{LONG_GAP}}}")
+        slow: list = []
         marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
         def encoded(text: str) -> list[int]:
-            return (exact if gap.search(text) else plain).encode_ordinary(text)
+            if not gap.search(text):
+                return plain.encode_ordinary(text)
+            if not vocabulary or not long_gap.search(text):
+                return exact.encode_ordinary(text)
+            if not slow:
+                from tokenizers import Tokenizer
+
+                slow.append(Tokenizer.from_file(vocabulary))
+            return slow[0].encode(text, add_special_tokens=False).ids
 
         for batch in batches:
             rows, piece, start, length, ids, size = [], [], [], [], [], 0

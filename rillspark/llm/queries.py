@@ -53,8 +53,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
-    pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, capacity=1024, end_id=2, added=added)
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, capacity=1024, end_id=2, added=added_tokens(vocabulary), vocabulary=vocabulary)
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=1024)
 
 
