@@ -77,11 +77,40 @@ def test_a_hot_text_is_salted_and_others_stay_together(spark):
     assert len(slot_map.versions) == 2 and slot_map.edits(1)
 
 
-def test_slot_map_round_trip(spark, tmp_path):
-    m = sharding.SlotMap(3, 12)
-    m.rebalance([100] + [1] * 11)
-    m.write(spark, str(tmp_path / "map"))
-    assert sharding.SlotMap.read(spark, str(tmp_path / "map")).versions == m.versions
+def test_slot_map_is_stored_and_continued(spark, tmp_path):
+    path = str(tmp_path / "map")
+    df = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(4000)], "doc_id long, text string")
+    _, one = sharding.shard(df, shards=3, slots=64, path=path)
+    more = df.unionByName(spark.createDataFrame([(9000 + i, "y" * 90 + str(i)) for i in range(500)], "doc_id long, text string"))
+    rows, two = sharding.shard(more, shards=3, slots=64, path=path)
+    assert len(one.versions) == 2 and len(two.versions) == 3 and two.versions[:2] == one.versions
+    assert sharding.SlotMap.read(spark, path, 3).versions == two.versions and 0 < len(two.edits(2)) < 64
+    assert {r["map_version"] for r in rows.select("map_version").distinct().collect()} == {2}
+
+
+def test_a_slot_of_many_short_rows_is_numbered_without_gaps(spark):
+    df = spark.createDataFrame([(i, "" if i % 3 == 0 else f"text {i} " * 20) for i in range(9000)], "doc_id long, text string")
+    out = sharding.shard(df, shards=4, slots=128)[0].toPandas()
+    assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard")["place"]) and len(out) == 9000
+    assert out[out["text_crc32"] == 0]["shard"].nunique() == 1
+
+
+def test_shards_equal_brute_force(spark):
+    """Slots, sums, map and places worked out again in plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows, slot_map = sharding.shard(docs, shards=5, slots=256)
+    got = rows.toPandas()
+    load = np.zeros(256, int)
+    np.add.at(load, got["virtual_slot"], got["size"])
+    again = sharding.SlotMap(5, 256)
+    again.rebalance(load.tolist())
+    assert again.versions == slot_map.versions and (got["shard"] == [again.versions[1][v] for v in got["virtual_slot"]]).all()
+    texts = dict(docs.select("doc_id", "text").collect())
+    assert got.assign(text=got["doc_id"].map(texts)).groupby("text")["virtual_slot"].nunique().max() == 1
+    ends = {k: 0 for k in range(5)}
+    for (_, k), g in got.groupby(["virtual_slot", "shard"]):
+        assert sorted(g["place"]) == list(range(ends[k], ends[k] + len(g)))
+        ends[k] += len(g)
 
 
 # 2: embeddings
@@ -107,11 +136,16 @@ def test_embedding_links_equal_brute_force_at_the_threshold(spark):
     near = u @ u.T >= 0.9
     np.fill_diagonal(near, False)
     df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
-    out = embed_dedup.embedding_groups(df, block=64, tail=20).orderBy("vec_id").toPandas()
+    out = embed_dedup.embedding_groups(df.withColumn("node", F.lit(1)).withColumn("weight", F.lit("x")), block=64, window=20).orderBy("vec_id").toPandas()
     assert (out["n_links"].to_numpy() <= near.sum(axis=1)).all()
     assert out["n_links"].sum() >= 0.995 * near.sum()
 
 
+def test_compared_vectors_hardly_grow_with_the_table():
+    per_vector = {n: embed_dedup.calibrated(n, 0.9, 0.9998, 256, 32)[0] * 256 for n in (10**5, 10**6, 10**7, 10**8, 10**10)}
+    assert per_vector[10**8] < 8 * per_vector[10**5] and per_vector[10**10] < 20 * per_vector[10**5]
+
+
 # 3: repeated bytes
 
 
@@ -138,6 +172,29 @@ def test_repeats_equal_brute_force(spark, docs, most):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_repeats_in_very_long_texts_equal_brute_force(spark, monkeypatch):
+    """A text in many parts: repeats within it, across its parts' borders and in another text."""
+    monkeypatch.setattr(bytescan, "PIECE", 3000)
+    rng = np.random.default_rng(8)
+    draw = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    one = draw(900)
+    texts = [draw(5000) + one + draw(4000) + one[100:800] + draw(9000), draw(200) + one[:700] + draw(50), one[:399], draw(20_000)]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(4)] == removed([t.encode() for t in texts], 400)
+
+
+def test_cover_ranks_are_in_byte_order():
+    rng = np.random.default_rng(4)
+    data = np.frombuffer(b"".join([bytes(rng.integers(97, 99, 300, dtype=np.uint8))] * 3) + bytes(rng.integers(97, 100, 900, dtype=np.uint8)), np.uint8)
+    cover, _ = suffix_dedup.difference_cover()
+    ranks, long = suffix_dedup.cover_ranks(data, 327, cover)
+    raw = data.tobytes()
+    some = range(0, len(data) - 400)
+    assert [raw[i : i + 73] for i in sorted(some, key=lambda i: (ranks[i], raw[i : i + 73]))] == sorted(raw[i : i + 73] for i in some)
+    places = [i for i in some if i % 73 in cover]
+    assert all((raw[i : i + 327] < raw[j : j + 327]) == (long[i] < long[j]) for i in places[::5] for j in places[::3])
+
+
 def test_repeats_edge_cases(docs, none):
     got = suffix_dedup.remove_repeats(docs).collect()
     assert len(got) == docs.count() and all(r["n_bytes"] - r["n_removed"] == len(r["kept"]) for r in got)
@@ -160,7 +217,6 @@ def test_packing_round_trip(spark, docs):
 
     out = queries.packed(docs).toPandas()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     for r in docs.where("doc_id is not null and doc_id <> 7").select("doc_id", "text").collect():
         want = np.array(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [2], "<u4")
         mine = out[out["doc_id"] == r["doc_id"]].sort_values("piece")
@@ -192,7 +248,7 @@ def test_added_tokens_inside_texts_are_those_of_tokenizers(spark):
     from tokenizers import Tokenizer
 
     mark = "<|endoftext|>"
-    texts = [f"a {mark} b", mark, f"{mark}{mark} x", f"a  {mark}  b", f"é\n\n{mark}\n\nc ", f"x{mark}y", "<|endoftext|", f"<|{mark}|>", "<|ENDOFTEXT|>", f"{mark} w" * 900, "plain  text"]
+    texts = [f"a {mark} b", mark, f"{mark}{mark} x", f"a  {mark}  b", f"é\n\n{mark}\n\nc ", f"x{mark}y", "<|endoftext|", f"<|{mark}|>", "<|ENDOFTEXT|>", f"{mark} w" * 900, "plain  text", "a" + " " * 1_000_000 + "b  c", "\n" * 60_000, f"x{mark}" + "\t" * 70_000 + "y"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = queries.packed(df).toPandas()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -315,6 +371,17 @@ def test_targets_fill_up(spark):
     assert abs(got["b"] / got["c"] - 2) < 1e-9 or got["b"] == 2000
 
 
+def test_mix_is_cut_where_the_running_total_meets_the_budget(spark):
+    mixed = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
+    mixed = mixed.sort_values("total", kind="stable")
+    assert (mixed["finish"].diff().dropna() >= -1e-12).all() and mixed["total"].iloc[-1] == mixed["size"].sum()
+    budget = sum(int(t) for t in mixed.drop_duplicates("source")["target"])
+    assert mixed["taken"].sum() == budget
+    assert (mixed[mixed["finish"] <= 1 - 1e-9]["taken"] == mixed[mixed["finish"] <= 1 - 1e-9]["size"]).mean() > 0.99
+    late = mixed[mixed["total"] > budget]
+    assert (late["taken"] > 0).sum() <= mixed["source"].nunique()
+
+
 def test_mix_edge_cases(docs, none):
     for spans in (1, 1024):
         rows = mixing.taken_per_document(mixing.mix(docs, spans=spans)).collect()
@@ -330,10 +397,10 @@ def test_mix_edge_cases(docs, none):
 
 
 def test_levels_of_chains_and_cycles(spark):
-    data = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(40)] + [("x", "y"), ("y", "x"), ("lone", "gone")]
+    data = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(40)] + [("x", "y"), ("y", "x"), ("self", "self"), ("below", "x"), ("lone", "gone")]
     df = spark.createDataFrame(data, "call_id string, depends_on string")
-    got = {r["call_id"]: r["level"] for r in chat.topological_levels(df, rounds=8).collect()}
-    assert [got[f"c{i}"] for i in range(40)] == list(range(40)) and got["lone"] == 0 and got["x"] is None
+    got = {r["call_id"]: r["level"] for r in chat.topological_levels(df).collect()}
+    assert [got[f"c{i}"] for i in range(40)] == list(range(40)) and got["lone"] == 0 and all(got[c] is None for c in ("x", "y", "self", "below"))
 
 
 def test_validation_and_canonical_json(spark):
@@ -484,7 +551,7 @@ def test_exact_edge_cases(docs, none):
         groups = {}
         for r in docs.select("doc_id", "text").collect():
             groups.setdefault(hashlib.sha256((r["text"] or "").translate(A_Z).encode()).hexdigest(), []).append(r["doc_id"])
-        out = exact_dedup.exact_groups(docs, keep=keep, n_runs=4, fan_in=2).collect()
+        out = exact_dedup.exact_groups(docs, keep=keep, fan_in=2).collect()
         assert len(out) == docs.count()
         for r in out:
             known = [x for x in groups[r["text_sha256"]] if x is not None]
