@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillspark.operators.ranges import in_ranges, with_earlier, within
+
 
 def so_far(key: str, order: list[str]) -> Window:
     return Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -79,11 +81,22 @@ def collected(df: DataFrame, key: str, value: str, order: list[str]) -> DataFram
     return df.groupBy(key).agg(pairs.alias("pairs")).select(key, F.col(f"pairs.{value}").alias("values"))
 
 
-def global_running_count(df: DataFrame, order: str, parts: int = 64) -> DataFrame:
-    """A running count over all rows without one task for all: range partitions count first, their offsets are added."""
-    ranged = df.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id())
+def global_running_count(df: DataFrame, order: str) -> DataFrame:
+    """A running count over all rows without one task for all: ranges count first, and what came before them is added."""
+    rows = with_earlier(in_ranges(df, order), F.count("*"), F.sum)
     nth = F.row_number().over(Window.partitionBy("part").orderBy(order))
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
-    offsets = sizes.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
-    return ranged.withColumn("nth", nth).join(F.broadcast(offsets), "part").withColumn("running_count", F.col("nth") + F.col("before")).drop("part", "nth", "before")
+    return rows.withColumn("running_count", nth + F.coalesce("earlier", F.lit(0))).drop("part", "earlier")
+
+
+def running_reduce(df: DataFrame, key: str, value: str, time: str, order: list[str]) -> DataFrame:
+    """The fold of each key after each row: the sum of ``value`` so far and the newest ``time``; the first comes out as it is."""
+    w = so_far(key, order)
+    return df.select(key, *order, F.sum(value).over(w).alias("sum_value"), F.max(time).over(w).alias("last_time"))
+
+
+def predicate_running_sum(df: DataFrame, test: Column, value: str, order: list[str]) -> DataFrame:
+    """After each row the sum of its side so far. There are two sides, so sums go by ranges of the order."""
+    rows = in_ranges(df.withColumn("side", F.when(test, 0).otherwise(1)), *order)
+    rows = with_earlier(rows, F.sum(value), F.sum, ("side",))
+    total = F.sum(value).over(within("side", order=tuple(order)))
+    return rows.withColumn("running_sum", total + F.coalesce("earlier", F.lit(0))).drop("part", "earlier")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -9,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillspark.operators.ranges import as_of
+
 
 def bucketed(df: DataFrame, time: str, size_s: int, out: str = "bucket") -> DataFrame:
     return df.withColumn(out, F.floor(F.unix_seconds(time) / size_s))
@@ -97,47 +101,50 @@ def cached_lookup(facts: DataFrame, dimension: DataFrame, key: str, dim_key: str
 
 
 def async_enrich(df: DataFrame, call: Callable[[dict], dict], schema: str, fallback: Callable[[dict], dict], capacity: int = 100, timeout_s: float = 19.0) -> DataFrame:
-    """A slow call per row, at most ``capacity`` at once in each task; a call that takes too long gets ``fallback``."""
+    """A slow call per row, at most ``capacity`` at once in each task; a call that takes too long gets ``fallback``.
+
+    Time counts from a call's own start. A call that hangs is left behind with its threads, and nobody waits for it.
+    """
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(capacity) as pool:
+        pool, waiting = ThreadPoolExecutor(capacity), deque()
+        try:
             for frame in frames:
-                rows = frame.to_dict("records")
-                out = []
-                for row, answer in [(row, pool.submit(call, row)) for row in rows]:
+                rows, out = iter(frame.to_dict("records")), []
+                while True:
+                    while len(waiting) < capacity and (row := next(rows, None)) is not None:
+                        waiting.append((row, pool.submit(call, row), time.monotonic() + timeout_s))
+                    if not waiting:
+                        break
+                    row, answer, end = waiting.popleft()
                     try:
-                        out.append(answer.result(timeout_s))
+                        out.append(answer.result(max(0.0, end - time.monotonic())))
                     except TimeoutError:
                         out.append(fallback(row))
+                        pool.shutdown(wait=False)  # its calls go on; new ones must not queue behind a hung thread
+                        pool = ThreadPoolExecutor(capacity)
                 yield pd.DataFrame(out)
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
     return df.mapInPandas(work, schema)
 
 
-def control_threshold(rows: DataFrame, control: DataFrame, time: str, value: str, threshold: str, default: float, parts: int = 64) -> DataFrame:
-    """Rows above the latest control value at or before them, an as-of lookup over two streams without a key.
+def control_threshold(rows: DataFrame, control: DataFrame, time: str, value: str, threshold: str, default: float) -> DataFrame:
+    """Rows above the latest control value at or before them, an as-of lookup over two streams without a key."""
+    known = as_of(rows, control.groupBy(time).agg(F.max(threshold).alias(threshold)), [time], [threshold])
+    held = known.withColumn("held", F.coalesce(threshold, F.lit(default))).drop(threshold)
+    return held.where(F.col(value) > F.col("held"))
+
+
+def pattern_rule(rows: DataFrame, rules: DataFrame, key: str, action: str, order: list[str]) -> DataFrame:
+    """Rows whose key did ``action1`` just before and ``action2`` now, by the rule that was the last when the row came.
 
-    Rows and controls are put in order by ranges of time; each range also takes the last control before it, so no task
-    sees more than its range.
+    ``rules`` has ``order``, action1 and action2. Rows before the first rule match nothing.
     """
-    tagged = rows.withColumn("is_control", F.lit(0)).unionByName(control.select(time, F.col(threshold)).withColumn("is_control", F.lit(-1)), allowMissingColumns=True)
-    edge = tagged.agg(F.min(time).alias("low"), F.max(time).alias("high"))
-    low, high = F.unix_micros("low"), F.unix_micros("high")
-    tagged = tagged.crossJoin(F.broadcast(edge)).withColumn("span", F.floor((F.unix_micros(time) - low) * parts / (high - low + 1))).drop("low", "high")
-    last = tagged.groupBy("span").agg(F.max_by(threshold, F.when(F.col("is_control") < 0, F.col(time))).alias("last"))  # at most ``parts`` rows
-    before = F.last("last", True).over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
-    carried = last.select("span", before.alias("carried"))
-    within = Window.partitionBy("span").orderBy(time, "is_control").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.coalesce(F.last(threshold, True).over(within), "carried", F.lit(default))
-    out = tagged.join(F.broadcast(carried), "span").withColumn("held", held).where("is_control = 0")
-    return out.where(F.col(value) > F.col("held")).drop("span", "carried", "is_control", threshold)
-
-
-def pattern_rule(rows: DataFrame, rules: DataFrame, key: str, action: str, order: list[str], rule_order: str) -> DataFrame:
-    """Rows whose key did ``action1`` just before and ``action2`` now, by the rule that came last."""
-    last = rules.agg(F.max_by(F.struct("action1", "action2"), rule_order).alias("rule")).select("rule.*")  # one row
     before = F.lag(action).over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("before", before).join(F.broadcast(last), (F.col("before") == F.col("action1")) & (F.col(action) == F.col("action2")))
+    known = as_of(rows.withColumn("before", before), rules, order, ["action1", "action2"])
+    return known.where((F.col("before") == F.col("action1")) & (F.col(action) == F.col("action2")))
 
 
 def lateral_split(df: DataFrame, text_col: str, separator: str, keep_empty: bool) -> DataFrame:

@@ -26,9 +26,10 @@ def jump_alerts(df: DataFrame, key: str, value: str, order: list[str], jump: flo
 def top_so_far(df: DataFrame, key: str, value: str, order: list[str], n: int = 3) -> DataFrame:
     """After each row the key's ``n`` largest values, falling.
 
-    The list is folded: each step keeps ``n`` values, so a group's work grows with its rows, not with their square.
+    The list is folded row by row in Arrow batches: each step keeps ``n`` values, so a group's work grows with its rows. A
+    window of built-in functions would have to hold and sort all values so far at every row, the square of a group.
     """
-    schema = f"{key} bigint, {', '.join(f'{c} {df.schema[c].dataType.simpleString()}' for c in order)}, top array<{df.schema[value].dataType.simpleString()}>"
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, {', '.join(f'{c} {df.schema[c].dataType.simpleString()}' for c in order)}, top array<{df.schema[value].dataType.simpleString()}>"
     rows = df.select(key, *order, value).repartition(key).sortWithinPartitions(key, *order)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,6 +52,26 @@ def value_counts(df: DataFrame, key: str, value: str) -> DataFrame:
     return counts.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(value, "n")))).alias("counts"))
 
 
+def running_value_counts(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """The value-to-count map after each row. The output itself grows with rows times values of a key; ``value_counts``
+    gives the last map only."""
+    seen = F.collect_list(value).over(so_far(key, order))
+    rows = df.select(key, *order, seen.alias("seen"))
+    count = lambda v: F.struct(v.alias("key"), F.size(F.filter("seen", lambda x: x == v)).cast("long").alias("value"))
+    return rows.select(key, *order, F.map_from_entries(F.transform(F.array_sort(F.array_distinct("seen")), count)).alias("counts"))
+
+
+def running_five_states(df: DataFrame, key: str, value: str, other: str, time: str, order: list[str]) -> DataFrame:
+    """After each row, side by side: the value, the list's length, the map's size, the reduced sum with the first row's
+    ``other`` and the newest time, and the average."""
+    w = so_far(key, order)
+    new = F.when(F.row_number().over(Window.partitionBy(key, value).orderBy(*order)) == 1, 1).otherwise(0)
+    return df.withColumn("new value", new).select(
+        key, *order, F.col(value).alias("value"), F.count(value).over(w).alias("list_size"), F.sum("new value").over(w).alias("map_size"),
+        F.sum(value).over(w).alias("reduced"), F.first(other).over(w).alias(f"first_{other}"), F.max(time).over(w).alias("newest"), F.avg(value).over(w).alias("average"),
+    )
+
+
 def running_average(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     return df.withColumn("running_avg", F.avg(value).over(so_far(key, order)))
 

@@ -29,12 +29,8 @@ def topn_per_window(df: DataFrame, time: str, size: str, key: str, n: int, slide
 
 
 def topn_all_window(df: DataFrame, time: str, size: str, slide: str, key: str, n: int) -> DataFrame:
-    """The same in one aggregate per window, from counts already reduced: one list of (cnt, key) per window and end."""
-    counts = windowed(df, time, size, [key], F.count("*").alias("cnt"), slide=slide)
-    order = F.struct((-F.col("cnt")).alias("less"), F.col(key).alias("key"))
-    best = counts.groupBy("window_end").agg(F.slice(F.sort_array(F.collect_list(order)), 1, n).alias("best"))
-    rows = best.select("window_end", F.posexplode("best").alias("pos", "one"))
-    return rows.select("window_end", (F.col("pos") + 1).alias("rank"), F.col("one.key").alias(key), (-F.col("one.less")).alias("cnt"))
+    """The same by window end alone. Each task drops what can't be among the ``n`` before the rows of a window meet."""
+    return topn_per_window(df, time, size, key, n, slide).select("window_end", "rank", key, "cnt")
 
 
 def top_values(df: DataFrame, key: str, value: str, n: int, order: list[str]) -> DataFrame:

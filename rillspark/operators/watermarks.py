@@ -1,6 +1,6 @@
 """Watermarks and late rows, as a batch model: rows carry an arrival time, the watermark trails the largest event time.
 
-A running maximum over all arrivals would pull everything into one task. Here each range of arrival times finds its own
+A running maximum over all arrivals would pull everything into one task. Here each range of arrivals finds its own
 maximum first; the few maxima are put in order, and rows only look back within their range.
 """
 
@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillspark.operators.ranges import in_ranges, with_earlier, within
 
-def with_watermark_column(df: DataFrame, time: str, arrival: list[str], delay_ms: int, keys: list[str] | None = None, spans: int = 64) -> DataFrame:
+
+def with_watermark_column(df: DataFrame, time: str, arrival: list[str], delay_ms: int, keys: list[str] | None = None) -> DataFrame:
     """``watermark_ms`` after each row: the largest event time so far, less ``delay_ms`` and one millisecond.
 
     With ``keys``, each key is a source partition of its own.
@@ -19,17 +21,9 @@ def with_watermark_column(df: DataFrame, time: str, arrival: list[str], delay_ms
     if keys:
         so_far = Window.partitionBy(*keys).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumn("watermark_ms", F.max("event_ms").over(so_far) - delay_ms - 1)
-    first = arrival[0]
-    edge = rows.agg(F.min(first).alias("low"), F.max(first).alias("high"))  # one row
-    at = F.unix_micros(F.col(first))
-    low, high = F.unix_micros(F.col("low")), F.unix_micros(F.col("high"))
-    rows = rows.crossJoin(F.broadcast(edge)).withColumn("span", F.floor((at - low) * spans / (high - low + 1))).drop("low", "high")
-    tops = rows.groupBy("span").agg(F.max("event_ms").alias("top"))  # at most ``spans`` rows
-    before = F.max("top").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
-    tops = tops.select("span", before.alias("before"))
-    within = Window.partitionBy("span").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, 0)
-    largest = F.greatest(F.max("event_ms").over(within), F.col("before"))
-    return rows.join(F.broadcast(tops), "span").withColumn("watermark_ms", largest - delay_ms - 1).drop("span", "before")
+    rows = with_earlier(in_ranges(rows, *arrival), F.max("event_ms"), F.max)
+    largest = F.greatest(F.max("event_ms").over(within(order=tuple(arrival))), F.col("earlier"))
+    return rows.withColumn("watermark_ms", largest - delay_ms - 1).drop("part", "earlier")
 
 
 def late(size_ms: int, lateness_ms: int = 0) -> Column:

@@ -87,3 +87,18 @@ def running_collect(spark, sf):
 @query("d13_keyed_count_state", f"SELECT event_id, row_number() OVER (ORDER BY event_id) AS running_count FROM {E}")
 def keyed_count_state(spark, sf):
     return G.global_running_count(clicks(spark, sf), "event_id").select("event_id", F.col("running_count").cast("bigint").alias("running_count"))
+
+
+@query("d05_keyed_reduce_running", f"SELECT user_id, ts, event_id, sum(vc) {OVER}::BIGINT AS sum_value, max(ts) {OVER} AS last_time FROM {E}")
+def keyed_reduce_running(spark, sf):
+    return naive(G.running_reduce(clicks(spark, sf), "user_id", "vc", "ts", ORDER), "ts", "last_time")
+
+
+@query("d10_predicate_keyed_sum_running", f"SELECT event_id, side, sum(vc) OVER (PARTITION BY side ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running_sum FROM (SELECT *, CASE WHEN vc < 50 THEN 0 ELSE 1 END AS side FROM {E})")
+def predicate_keyed_sum_running(spark, sf):
+    return G.predicate_running_sum(clicks(spark, sf), F.col("vc") < 50, "vc", ["event_id"]).select("event_id", "side", "running_sum")
+
+
+@query("d12_running_collect_running", f"SELECT user_id, event_id, string_agg(vc::VARCHAR, ',') {OVER} AS \"values\" FROM {E}")
+def running_collect_running(spark, sf):
+    return G.running_collect(clicks(spark, sf), "user_id", "vc", ORDER).select("user_id", "event_id", F.array_join("values", ",").alias("values"))

@@ -127,12 +127,18 @@ def broadcast_threshold(spark, sf):
     return out.select("event_id", "vc", "held")
 
 
-@query("g14_broadcast_pattern", f"SELECT event_id, user_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM {E}) WHERE b = 'view' AND event_type = 'purchase'")
+@query(
+    "g14_broadcast_pattern",
+    f"""WITH r AS (SELECT event_id, user_id, event_type, us, lag(event_type) OVER (PARTITION BY user_id ORDER BY us, event_id) AS b, NULL AS first FROM {E} WHERE event_type <> 'signup'),
+    u AS (SELECT * FROM r UNION ALL SELECT event_id, NULL, NULL, us, NULL, CASE WHEN event_id % 2 = 0 THEN 'click' ELSE 'view' END FROM {E} WHERE event_type = 'signup')
+    SELECT event_id, user_id FROM (SELECT *, last_value(first IGNORE NULLS) OVER (ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS held FROM u) WHERE b = held AND event_type = 'purchase'""",
+)
 def broadcast_pattern(spark, sf):
-    """The rules come from the data: the last one by number holds."""
+    """Each signup sets a rule, which holds until the next one: a click or a view, and then a purchase."""
     rows = clicks(spark, sf)
-    pairs = rows.select(F.when(F.col("event_id") % 2 == 0, "click").otherwise("view").alias("action1"), F.lit("purchase").alias("action2"), (F.col("event_id") % 2).alias("seq")).distinct()
-    return J.pattern_rule(rows, pairs, "user_id", "event_type", ["ts", "event_id"], "seq").select("event_id", "user_id")
+    first = F.when(F.col("event_id") % 2 == 0, "click").otherwise("view")
+    rules = rows.where("event_type = 'signup'").select("ts", "event_id", first.alias("action1"), F.lit("purchase").alias("action2"))
+    return J.pattern_rule(rows.where("event_type <> 'signup'"), rules, "user_id", "event_type", ["ts", "event_id"]).select("event_id", "user_id")
 
 
 WORDS = "(SELECT p_partkey, unnest([x for x in string_split(p_name, ' ') if x <> '']) AS word FROM part)"

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "i03_topn_per_window"
-MODULES = ("sources_sinks", "rows", "aggregates", "windows", "watermarks", "joins", "state", "topn_functions", "patterns")
+MODULES = ("sources_sinks", "rows", "aggregates", "windows", "watermarks", "joins", "state", "topn_functions", "patterns", "streams")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 

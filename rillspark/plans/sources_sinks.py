@@ -74,7 +74,7 @@ def keyed_upsert_sink(spark, sf):
     """Two micro-batches merged into one keyed table."""
     path, rows = scratch(spark, "upserts"), clicks(spark, sf)
     for part in (0, 1):
-        sinks.upsert(rows.where(F.col("event_id") % 2 == part), path, "user_id", "event_type", ["ts", "event_id"])
+        sinks.upsert(rows.where(F.col("event_id") % 2 == part), path, "user_id", "event_type", ["ts", "event_id"], slots=16)
     return sinks.current(spark, path).select("user_id", "event_type")
 
 

@@ -30,6 +30,16 @@ def map_state_counts(spark, sf):
     return out.select("user_id", F.array_join(pairs, ",").alias("counts"))
 
 
+COUNTED = f"(SELECT user_id, event_id, list(vc) {OVER} AS seen FROM {E})"
+
+
+@query("h03_map_state_counts_running", f"SELECT user_id, event_id, array_to_string([v || '=' || len(list_filter(seen, lambda x: x = v)) for v in list_sort(list_distinct(seen))], ',') AS counts FROM {COUNTED}")
+def map_state_counts_running(spark, sf):
+    out = S.running_value_counts(clicks(spark, sf), "user_id", "vc", ORDER)
+    pairs = F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"].cast("string")))
+    return out.select("user_id", "event_id", F.array_join(pairs, ",").alias("counts"))
+
+
 @query("h04_reducing_state_sum", f"SELECT user_id, event_id, sum(vc) {OVER}::BIGINT AS running_sum FROM {E}")
 def reducing_state(spark, sf):
     return G.running_sum(clicks(spark, sf), "user_id", "vc", ORDER).select("user_id", "event_id", "running_sum")
@@ -50,6 +60,15 @@ def five_state_kinds(spark, sf):
     return S.five_states(clicks(spark, sf), "user_id", "vc", ORDER).withColumn("average", F.round("average", 6))
 
 
+@query(
+    "h07_five_state_kinds_running",
+    f"SELECT user_id, event_id, vc AS value, count(vc) {OVER} AS list_size, sum(is_new) {OVER}::BIGINT AS map_size, sum(vc) {OVER}::BIGINT AS reduced, first_value(event_type) {OVER} AS first_event_type, max(ts) {OVER} AS newest, round(avg(vc) {OVER}, 6) AS average FROM (SELECT *, (row_number() OVER (PARTITION BY user_id, vc ORDER BY ts, event_id) = 1)::INT AS is_new FROM {E})",
+)
+def five_state_kinds_running(spark, sf):
+    out = S.running_five_states(clicks(spark, sf), "user_id", "vc", "event_type", "ts", ORDER).drop("ts")
+    return naive(out.withColumn("average", F.round("average", 6)), "newest")
+
+
 W = f"(SELECT *, CASE WHEN event_type = 'click' THEN vc END AS v, CASE WHEN event_type = 'click' THEN us END AS w FROM {E})"
 
 

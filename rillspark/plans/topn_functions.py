@@ -79,7 +79,7 @@ def top2_table_agg(spark, sf):
 @query("j05_udf_registration", "SELECT c_custkey, length(c_name)::INT AS size FROM customer")
 def udf_registration(spark, sf):
     X.register(spark)
-    return table(spark, sf, "customer").select("c_custkey", F.call_function("text_length", F.col("c_name")).alias("size"))
+    return table(spark, sf, "customer").selectExpr("c_custkey", "text_length(c_name) AS size")
 
 
 @query("j06_parameterised_function", "SELECT p_partkey FROM part WHERE contains(p_type, 'O')")

@@ -37,8 +37,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (the checkpoint folder; a temporary one where none is set)."""
+    """A new path in the folder that driver and executors share: the checkpoint folder; a new local one in local mode alone."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

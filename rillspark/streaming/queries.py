@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillspark.operators.windows import bounds, windowed
+from rillspark.operators.windows import windowed
 
 
 def closed_windows(rows: DataFrame, time: str, size: str, keys: list[str], *aggs: Column, slide: str | None = None) -> DataFrame:
@@ -20,11 +20,60 @@ def unique_visitors(rows: DataFrame, time: str, size: str, user: str) -> DataFra
     return windowed(rows, time, size, [], F.size(F.collect_set(user)).alias("visitors"))
 
 
-def cumulated(rows: DataFrame, time: str, step: str, size: str, keys: list[str]) -> DataFrame:
-    """Counts per step window, then per enclosing window: the second aggregate is what a window reports at its end."""
-    steps = rows.groupBy(*keys, F.window(time, step).alias("step")).agg(F.count("*").alias("n"))
-    whole = steps.groupBy(*keys, F.window(F.window_time("step"), size)).agg(F.sum("n").alias("cnt"))
-    return whole.select(*keys, *bounds(), "cnt")
+def cumulated(rows: DataFrame, time: str, step_s: int, size_s: int, keys: list[str], delay_s: int) -> DataFrame:
+    """Growing windows: counts from a window's start to each of its steps, each once, when the watermark passes its end.
+
+    ``rows`` has no watermark yet: it is put on the ends, which run ahead of the rows by up to ``size_s``.
+    """
+    at = F.unix_seconds(time)
+    start = at - F.pmod(at, F.lit(size_s))
+    ends = F.sequence(at - F.pmod(at, F.lit(step_s)) + step_s, start + size_s, F.lit(step_s))
+    rows = rows.select(*keys, F.timestamp_seconds(start).alias("window_start"), F.explode(F.transform(ends, F.timestamp_seconds)).alias("window_end"))
+    counts = rows.withWatermark("window_end", f"{delay_s + size_s} seconds").groupBy(*keys, "window_start", "window_end").agg(F.count("*").alias("cnt"))
+    return counts.select(*keys, *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")], "cnt")
+
+
+def cogrouped(left: DataFrame, right: DataFrame, key: str, time: str, size: str, value: str) -> DataFrame:
+    """Both sides' sorted values per key and window, when it is closed; ``left`` and ``right`` are streams with a watermark."""
+    side = lambda df, k: df.select(key, time, F.when(F.lit(k == 0), F.col(value)).alias("left"), F.when(F.lit(k == 1), F.col(value)).alias("right"))
+    lists = [F.sort_array(F.collect_list(c)).alias(f"{c}_values") for c in ("left", "right")]
+    return windowed(side(left, 0).unionByName(side(right, 1)), time, size, [key], *lists)
+
+
+def late_windows_writer(time: str, size_s: int, delay_s: int, lateness_s: int, path: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer of tumbling counts with allowed lateness: every micro-batch writes the counts of the windows that it
+    touches, a fired one again; rows whose window is closed for good go to a side output.
+
+    The watermark of a micro-batch is the largest time of those before it, less ``delay_s``. Everything is written under
+    the micro-batch's number and made from lower numbers alone, so a replayed one writes the same again. Read the windows
+    with ``fired_windows`` and the late rows from ``{path}/late``.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.createDataFrame([], "top bigint, number bigint")
+        fired = spark.createDataFrame([], "start_s bigint, cnt bigint, number bigint")
+        if number:
+            before = spark.read.schema(before.schema).parquet(f"{path}/tops").where(F.col("number") < number)
+            fired = spark.read.schema(fired.schema).parquet(f"{path}/fired").where(F.col("number") < number)
+        top = before.agg(F.max("top")).first()[0]  # a row per micro-batch
+        at = F.unix_seconds(time)
+        rows = batch.withColumn("start_s", at - F.pmod(at, F.lit(size_s)))
+        late = F.lit(False) if top is None else F.col("start_s") + size_s + lateness_s <= top - delay_s
+        rows.where(late).drop("start_s").write.mode("overwrite").parquet(f"{path}/late/number={number}")
+        new = rows.where(~late).groupBy("start_s").agg(F.count("*").alias("n"))
+        last = fired.groupBy("start_s").agg(F.max_by("cnt", "number").alias("cnt"))
+        counts = new.join(last, "start_s", "left").select("start_s", (F.col("n") + F.coalesce("cnt", F.lit(0))).alias("cnt"))
+        counts.write.mode("overwrite").parquet(f"{path}/fired/number={number}")
+        batch.agg(F.max(at).alias("top")).where("top is not null").write.mode("overwrite").parquet(f"{path}/tops/number={number}")
+
+    return write
+
+
+def fired_windows(spark: SparkSession, path: str) -> DataFrame:
+    """(window_start, cnt, number): every firing of every window; the last number has the final count."""
+    rows = spark.read.schema("start_s bigint, cnt bigint, number bigint").parquet(f"{path}/fired")
+    return rows.select(F.timestamp_seconds("start_s").cast("timestamp_ntz").alias("window_start"), "cnt", "number")
 
 
 def rank_closed_windows(path: str, key: str, n: int) -> Callable[[DataFrame, int], None]:

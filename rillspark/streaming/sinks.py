@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 
 def console(rows: DataFrame, label: str, mode: str = "append") -> StreamingQuery:
@@ -20,23 +20,30 @@ def memory_table(rows: DataFrame, name: str, mode: str = "append", checkpoint: s
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
-def rolling_files(rows: DataFrame, path: str, checkpoint: str, every: str = "15 minutes", most_rows: int = 1_000_000) -> StreamingQuery:
-    """Text files that roll with each trigger and after ``most_rows``; with the checkpoint, each row is written once."""
-    return rows.writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", most_rows).trigger(processingTime=every).start()
+def started(writer: DataStreamWriter, every: str | None) -> StreamingQuery:
+    """Start with a trigger every so often, or, without one, over what is there now."""
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def rolling_files(rows: DataFrame, path: str, checkpoint: str, every: str | None = "15 minutes", most_rows: int = 1_000_000) -> StreamingQuery:
+    """Text files that roll with each trigger, so by age, and after ``most_rows``; with the checkpoint, each row is written once."""
+    return started(rows.writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", most_rows), every)
 
 
 def with_bucket(rows: DataFrame, time: Column) -> DataFrame:
     return rows.withColumn("bucket", F.date_format(time, "yyyy-MM-dd HH"))
 
 
-def bucketed_files(rows: DataFrame, path: str, time: Column, form: str = "parquet") -> None:
-    """Files in one folder per hour of ``time``; rows of an hour are brought together first, large hours in several files."""
-    with_bucket(rows, time).hint("rebalance", "bucket").write.partitionBy("bucket").format(form).mode("append").save(path)
+def bucketed_files(rows: DataFrame, path: str, time: Column, form: str = "parquet", parts: int | None = None) -> None:
+    """Files in one folder per hour of ``time``. Rows go in ranges of time: small hours share a task, large ones take several."""
+    parts = parts or max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = with_bucket(rows, time).repartitionByRange(parts, "bucket", F.xxhash64(*rows.columns)).sortWithinPartitions("bucket")
+    ranged.write.partitionBy("bucket").format(form).mode("append").save(path)
 
 
-def bucketed_file_stream(rows: DataFrame, path: str, checkpoint: str, form: str = "parquet", every: str = "1 minute") -> StreamingQuery:
+def bucketed_file_stream(rows: DataFrame, path: str, checkpoint: str, form: str = "parquet", every: str | None = "1 minute") -> StreamingQuery:
     """The same by the time a row is handled."""
-    return with_bucket(rows, F.current_timestamp()).writeStream.partitionBy("bucket").format(form).option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    return started(with_bucket(rows, F.current_timestamp()).writeStream.partitionBy("bucket").format(form).option("path", path).option("checkpointLocation", checkpoint), every)
 
 
 def csv_files(rows: DataFrame, path: str) -> None:
@@ -48,30 +55,44 @@ def latest_per_key(rows: DataFrame, key: str, value: str, order: list[str]) -> D
     return rows.groupBy(key).agg(F.max_by(F.struct(value), F.struct(*order)).alias("last")).select(key, f"last.{value}")
 
 
-def upsert(batch: DataFrame, path: str, key: str, value: str, order: list[str]) -> None:
-    """Merge a micro-batch into a keyed table kept as versions of Parquet folders; a replayed batch changes nothing.
+def upsert(batch: DataFrame, path: str, key: str, value: str, order: list[str], slots: int = 64) -> None:
+    """Merge a micro-batch into a keyed table; a replayed batch changes nothing.
 
-    Version n is written whole before it is named current, so a failure leaves the version before.
+    The table lies in ``slots`` by a hash of the key, each slot as versions. A batch reads and writes only the slots that
+    its keys fall in. A version is written whole before readers take it, so a failure leaves the one before.
     """
     spark = batch.sparkSession
-    fs, root = _files(spark, path)
-    done = sorted(int(x.getPath().getName()[1:]) for x in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))) if fs.exists(root) else []
-    new = batch.select(key, value, *order)
-    if done:
-        new = new.unionByName(spark.read.schema(new.schema).parquet(f"{path}/v{done[-1]}"))
-    best = new.groupBy(key).agg(F.max_by(F.struct(value, *order), F.struct(*order)).alias("last")).select(key, "last.*")
-    best.write.mode("overwrite").parquet(f"{path}/v{done[-1] + 1 if done else 0}")
-
-
-def current(spark, path: str) -> DataFrame:
-    fs, root = _files(spark, path)
-    done = sorted(int(x.getPath().getName()[1:]) for x in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS")))
-    return spark.read.parquet(f"{path}/v{done[-1]}")
-
-
-def _files(spark, path: str) -> tuple:
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
+    new = batch.select(key, value, *order).withColumn("slot", F.pmod(F.xxhash64(key), F.lit(slots)).cast("int"))
+    folders, last = _slots(spark, path)
+    if folders:
+        touched = [r[0] for r in new.select("slot").distinct().collect() if r[0] in folders]  # at most ``slots`` numbers
+        if touched:
+            old = spark.read.schema(new.drop("slot").schema).parquet(*[folders[k] for k in touched])
+            new = new.unionByName(old.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")))
+    best = new.groupBy(key).agg(F.max_by(F.struct(value, *order, "slot"), F.struct(*order)).alias("last")).select(key, "last.*")
+    best.repartition(spark.sparkContext.defaultParallelism, "slot").write.partitionBy("slot").mode("overwrite").parquet(f"{path}/v{last + 1}")
+
+
+def current(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The table as it is now."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(*_slots(spark, path)[0].values())
+
+
+def _slots(spark: SparkSession, path: str) -> tuple[dict[int, str], int]:
+    """The folder of each slot's newest version that is complete, and the number of the newest version."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    root = path_of(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions = sorted(int(x.getPath().getName()[1:]) for x in fs.listStatus(root)) if fs.exists(root) else []
+    done = [v for v in versions if fs.exists(path_of(f"{path}/v{v}/_SUCCESS"))]
+    folders: dict[int, str] = {}
+    for v in done:
+        for x in fs.listStatus(path_of(f"{path}/v{v}")):
+            name = x.getPath().getName()
+            if name.startswith("slot="):
+                folders[int(name[5:])] = f"{path}/v{v}/{name}"
+    return folders, done[-1] if done else -1
 
 
 def documents(rows: DataFrame, field: str, value: str) -> DataFrame:

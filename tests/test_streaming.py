@@ -59,10 +59,45 @@ def test_windows_close_once(spark, folder, tmp_path):
     same(out.where("event_type <> 'end'"), want, ["event_type", "window_start", "cnt"])
 
 
-def test_cumulated_windows(spark, folder, tmp_path):
-    out = drained(spark, queries.cumulated(stream(spark, folder), "ts", "15 minutes", "1 hour", ["event_type"]), tmp_path)
-    want = windows.windowed(batch(spark, folder), "ts", "1 hour", ["event_type"], F.count("*").alias("cnt"))
-    same(out.where("event_type <> 'end'"), want, ["event_type", "window_start", "cnt"])
+def test_cumulated_windows_grow(spark, folder, tmp_path):
+    plain = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    out = drained(spark, queries.cumulated(plain, "ts", 900, 3600, ["event_type"], 3600), tmp_path)
+    want = windows.cumulate(batch(spark, folder), "ts", 900, 3600, ["event_type"], F.count("*").alias("cnt"))
+    same(out.where("event_type <> 'end'"), want, ["event_type", "window_start", "window_end", "cnt"])
+
+
+def test_sessions(spark, folder, tmp_path):
+    for name, gap in (("fixed", "2 hours"), ("own", F.when(F.col("user_id") % 2 == 0, "1 hour").otherwise("3 hours"))):
+        make = lambda df, gap=gap: windows.session(df, "ts", gap, ["user_id"], F.count("*").alias("cnt"))
+        (tmp_path / name).mkdir()
+        out = drained(spark, make(stream(spark, folder)), tmp_path / name)
+        same(out.where("user_id < 1000000000"), make(batch(spark, folder)), ["user_id", "window_start", "window_end", "cnt"])
+
+
+def test_cogrouped_windows(spark, folder, tmp_path):
+    kind = lambda df, name: df.where(F.col("event_type").isin(name, "end"))
+    rows_ = stream(spark, folder)
+    out = drained(spark, queries.cogrouped(kind(rows_, "click"), kind(rows_, "purchase"), "user_id", "ts", "1 day", "event_id"), tmp_path)
+    some = batch(spark, folder)
+    want = joins.window_cogroup(kind(some, "click"), kind(some, "purchase"), "user_id", "ts", 86400, "event_id")
+    same(out.where("user_id < 1000000000"), want, ["user_id", "left_values", "right_values"])
+
+
+def test_late_rows_fire_again_or_go_aside(spark, tmp_path):
+    """Three files; the watermark of each is the largest time before it less 10 s, and windows stay open 60 s longer."""
+    parts = [[5, 20, 130], [15, 140, 250], [30, 70, 131, 260]]
+    for i, part in enumerate(parts):
+        rows_ = spark.createDataFrame([(100 * i + k, s) for k, s in enumerate(part)], "event_id long, s long")
+        rows_.select("event_id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/f{i}")
+    write = queries.late_windows_writer("ts", 60, 10, 60, f"{tmp_path}/out")
+    for folders in ("f[01]", "*"):  # stopped after two files and resumed
+        plain = spark.readStream.schema("event_id bigint, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/{folders}")
+        sinks.each_batch(plain, write, f"{tmp_path}/c").awaitTermination(120)
+    got = sorted((r["number"], r["window_start"].minute, r["cnt"]) for r in queries.fired_windows(spark, f"{tmp_path}/out").collect())
+    # The first window closes for good at 120 s, the watermark of the second file, and that of 120 s at 240 s, that of the third.
+    assert got == [(0, 0, 2), (0, 2, 1), (1, 2, 2), (1, 4, 1), (2, 4, 2)]
+    late = sorted(r["event_id"] for r in spark.read.schema("event_id bigint").parquet(f"{tmp_path}/out/late").collect())
+    assert late == [100, 200, 201, 202]
 
 
 def test_unique_visitors(spark, folder, tmp_path):
@@ -101,20 +136,73 @@ ORDER = ["ts", "event_id"]
     "processor, want",
     [
         (processors.RunningSum(), lambda df: aggregates.running_sum(df, "user_id", "vc", ORDER)),
+        (processors.RunningExtreme("max", "event_type"), lambda df: aggregates.running_extreme(df, "user_id", "vc", ["event_type"], ORDER).withColumnRenamed("vc", "best_value")),
+        (processors.RunningExtreme("min", "event_type", True), lambda df: aggregates.running_extreme_row(df, "user_id", "vc", ["event_type"], ORDER, "min").withColumnRenamed("best_vc", "best_value")),
+        (processors.RunningReduce(), lambda df: aggregates.running_reduce(df, "user_id", "vc", "ts", ORDER)),
+        (processors.RunningAverage(), lambda df: state.running_average(df, "user_id", "vc", ORDER)),
+        (processors.FiveStates("event_type"), lambda df: state.running_five_states(df, "user_id", "vc", "event_type", "ts", ORDER)),
         (processors.JumpAlert(10), lambda df: state.jump_alerts(df, "user_id", "vc", ORDER, 10)),
         (processors.AverageEvery(5), lambda df: state.average_every(df, "user_id", "vc", ORDER, 5)),
         (processors.RowsAverage(4), lambda df: topn.rows_average(df, "user_id", "vc", ORDER, 3)),
         (processors.Changelog(), lambda df: rows.changelog(df, "user_id", ORDER)),
-        (processors.CountWindow(5), lambda df: windows.count_tumbling(df, "user_id", 5, ORDER, F.sum("vc").alias("sum_vc"))),
+        (processors.CountWindow(5), lambda df: windows.count_tumbling(df, "user_id", 5, ORDER, F.sum("vc").alias("sum_value"))),
+        (processors.SlidingCount(5, 2), lambda df: windows.count_sliding(df, "user_id", 5, 2, ORDER, sum_value=F.sum("vc"))),
         (processors.TopSoFar(3), lambda df: state.top_so_far(df, "user_id", "vc", ORDER, 3).withColumn("top", F.array_join(F.transform("top", lambda x: x.cast("string")), ","))),
-        (processors.HitStreak("error", 2), lambda df: patterns.state_machine(df, "user_id", F.col("event_type") == "error", ORDER, 2)),
+        (processors.HitStreak("event_type", "error", 2), lambda df: patterns.state_machine(df, "user_id", F.col("event_type") == "error", ORDER, 2)),
+        (processors.ConsecutiveHits("event_type", "error", 2), lambda df: patterns.consecutive(df, "user_id", F.col("event_type") == "error", ORDER, 2, "event_id", None).toDF("user_id", "first_id", "last_id")),
         (processors.ValueCounts(), lambda df: df.withColumn("n", F.row_number().over(Window.partitionBy("user_id", "vc").orderBy(*ORDER)))),
     ],
     ids=lambda x: type(x).__name__ if isinstance(x, processors.StatefulProcessor) else "",
 )
 def test_processors_equal_batch(spark, folder, tmp_path, processor, want):
-    out = drained(spark, processors.run(stream(spark, folder), "user_id", processor, processor.schema), tmp_path)
-    same(out.where("user_id < 1000000000"), want(batch(spark, folder)), processor.columns)
+    out = drained(spark, processors.run(stream(spark, folder), "user_id", processor), tmp_path)
+    columns = [c for c in processor.columns if c != "value"] + (["vc"] if "value" in processor.columns else [])
+    rename = {"vc": "value"} if isinstance(processor, processors.FiveStates) else {}
+    want_rows = want(batch(spark, folder))
+    same(out.where("user_id < 1000000000"), want_rows.withColumnsRenamed({v: k for k, v in rename.items()}), columns)
+
+
+def test_processors_take_other_columns(spark, folder, tmp_path):
+    named = lambda df: df.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("who"), F.col("ts").alias("at time"), F.col("event_id").alias("no"), (F.col("vc") / 4).alias("price"))
+    named = lambda df, f=named: f(df).withColumnRenamed("at time", "when_")
+    out = drained(spark, processors.run(named(stream(spark, folder)), "who", processors.RunningSum(), "price", ("when_", "no")), tmp_path)
+    want = aggregates.running_sum(named(batch(spark, folder)), "who", "price", ["when_", "no"])
+    same(out.where("who <> 'u1000000000'").withColumn("running_sum", F.round("running_sum", 6)), want.withColumn("running_sum", F.round("running_sum", 6)), ["who", "no", "running_sum"])
+
+
+def test_event_timers_fire_once_each(spark, folder, tmp_path):
+    out = drained(spark, processors.run(stream(spark, folder), "user_id", processors.EventTimer(10_000)), tmp_path)
+    want = state.event_timers(batch(spark, folder), "user_id", "ts", 10).withColumn("fire_ms", F.unix_millis(F.col("fire_time").cast("timestamp")))
+    same(out.where("user_id < 1000000000"), want, ["user_id", "fire_ms", "set_by"])
+
+
+def test_windows_kept_by_hand_fire_early(spark, folder, tmp_path):
+    out = drained(spark, processors.run(stream(spark, folder), "user_id", processors.ManualWindow(3_600_000, 900_000)), tmp_path)
+    want = windows.cumulate(batch(spark, folder), "ts", 900, 3600, ["user_id"], F.count("*").alias("cnt"))
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    same(out.where("user_id < 1000000000"), want.withColumn("window_start_ms", ms("window_start")).withColumn("fire_ms", ms("window_end")), ["user_id", "window_start_ms", "fire_ms", "cnt"])
+
+
+def test_bills_are_reconciled(spark, folder, tmp_path):
+    day = lambda df: df.withColumn("bill", F.concat_ws(":", F.col("user_id").cast("string"), F.floor(F.unix_seconds("ts") / 86400).cast("string")))
+    halves = day(batch(spark, folder)).where("event_type IN ('click', 'purchase')").groupBy("bill", "event_type").agg(F.min_by("event_id", "ts").alias("event_id"))
+    first = [r["event_id"] for r in halves.collect()]
+    some = lambda df: day(df).where(F.col("event_id").isin(*first) | (F.col("event_type") == "end"))
+    out = drained(spark, processors.run(some(stream(spark, folder)), "bill", processors.Reconcile("event_type", "click", 3_600_000)), tmp_path)
+    got = {r["bill"]: r["n"] for r in out.where("status = 'matched'").groupBy("bill").agg(F.count("*").alias("n")).collect()}
+    side = lambda name: some(batch(spark, folder)).where(F.col("event_type") == name).select("bill", "ts")
+    want = joins.reconcile(side("click"), side("purchase"), "bill", "ts", 3600)
+    assert got == {r["bill"]: 1 for r in want.where("status = 'matched'").collect()}
+    missing = lambda df: {(r["bill"], r["status"]) for r in df.where("status like '%missing'").collect()}
+    assert missing(want) <= missing(out)
+
+
+def test_followed_by_completes_or_times_out(spark, folder, tmp_path):
+    out = drained(spark, processors.run(stream(spark, folder), "user_id", processors.FollowedBy("event_type", "click", "purchase", 86_400_000)), tmp_path)
+    some = batch(spark, folder)
+    first = some.where("event_type = 'click'").select("user_id", F.col("event_id").alias("first_id"), "ts")
+    want = patterns.followed_by(first, some.where("event_type = 'purchase'"), "user_id", "ts", "ts", 86_400)
+    same(out.where("user_id < 1000000000"), want, ["user_id", "first_id", "status"])
 
 
 def test_expiring_value_is_forgotten(spark, tmp_path):
@@ -123,25 +211,34 @@ def test_expiring_value_is_forgotten(spark, tmp_path):
     for i in (1, 2, 3):
         rows_.where(F.col("event_id") == i).coalesce(1).write.parquet(f"{tmp_path}/in/f{i}")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
-    df = files.timed_stream(spark, f"{tmp_path}/in/*", "event_id bigint, ts timestamp, user_id bigint, vc bigint", "ts", "1 hour")
-    p = processors.ExpiringValue(1)
-    q = processors.run(df, "user_id", p, p.schema, time_mode="ProcessingTime").writeStream.format("memory").queryName("expired").start()
-    for _ in range(80):
-        if spark.table("expired").count() == 3:
-            break
-        time.sleep(1)
-    q.stop()
+    for ttl_ms, want in ((1, [None, None, None]), (3_600_000, [None, 5, 5])):
+        df = files.timed_stream(spark, f"{tmp_path}/in/*", "event_id bigint, ts timestamp, user_id bigint, vc bigint", "ts", "1 hour")
+        name = f"expired_{ttl_ms}"
+        q = processors.run(df, "user_id", processors.ExpiringValue(ttl_ms)).writeStream.format("memory").queryName(name).start()
+        for _ in range(80):
+            if spark.table(name).count() == 3:
+                break
+            time.sleep(0.5)
+        q.stop()
+        assert [r["held"] for r in spark.table(name).orderBy("event_id").collect()] == want
     spark.conf.set("spark.sql.shuffle.partitions", "8")
-    assert {r["held"] for r in spark.table("expired").collect()} <= {None, 5} and spark.table("expired").count() == 3
 
 
 def test_timers_fire_after_the_watermark(spark, folder, tmp_path):
-    p = processors.TimedCount(3_600_000)
-    out = drained(spark, processors.run(stream(spark, folder, "1 second"), "user_id", p, p.schema, time_mode="EventTime"), tmp_path)
-    fired = out.where("user_id < 1000000000")
-    assert fired.count() > 0
-    last = fired.groupBy("user_id").agg(F.max("cnt").alias("n"))
-    assert last.join(batch(spark, folder).groupBy("user_id").agg(F.count("*").alias("all")), "user_id").where("n > all").count() == 0
+    """The first timer of a key fires with all rows of the micro-batches that came before the watermark passed it."""
+    out = drained(spark, processors.run(stream(spark, folder, "1 second"), "user_id", processors.TimedCount(3_600_000)), tmp_path)
+    some = batch(spark, folder).withColumn("file", F.regexp_extract(F.input_file_name(), r"/f(\d)/", 1).cast("int")).select("user_id", "ts", "file").toPandas()
+    tops = some.groupby("file")["ts"].max()
+    fired = out.where("user_id < 1000000000").toPandas()
+    assert set(fired["user_id"]) == set(some["user_id"])
+    for user, mine in some.groupby("user_id"):
+        came = mine[mine["file"] == mine["file"].min()]
+        fire = came["ts"].min() + pd.Timedelta(hours=1)
+        first = fired[fired["user_id"] == user].sort_values("fire_ms").iloc[0]
+        assert first["fire_ms"] == int(fire.timestamp() * 1000)
+        passed = [f for f in tops.index if tops[f] - pd.Timedelta(seconds=1) > fire]
+        last = min(passed) if passed else 2
+        assert first["cnt"] == (mine["file"] <= last).sum() or first["cnt"] == (mine["file"] <= min(last + 1, 2)).sum()
 
 
 def test_restart_continues_from_the_checkpoint(spark, folder, tmp_path):
