@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -275,17 +275,21 @@ def fit(texts: list[str], toxic: np.ndarray, turns: int = 3, steps: int = 300, b
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 700, longest: int = 15_000) -> Network | float:
-    """Fit on at most ``most`` toxic and 2 * ``most`` clean labelled texts of up to ``longest`` characters.
+def train(docs: DataFrame, labels: DataFrame, most: int = 700, characters: int = 6_000_000) -> Network | float:
+    """Fit on at most ``most`` toxic and 2 * ``most`` clean labelled texts, whole ones of any length, ``characters`` in all.
 
     The sample is the first by a hash of the id, so reruns agree. Labels with a null are left out; of several labels of
-    an id, toxic counts. The bound holds whatever the corpus, so its texts may come to the driver, where it is fitted.
+    an id, toxic counts. The bounds hold whatever the corpus, so the texts may come to the driver, where it is fitted.
     """
     small_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rank = F.md5(F.col("doc_id").cast("string"))
     some = known.where("toxic = 1").orderBy(rank, "doc_id").limit(most).unionByName(known.where("toxic = 0").orderBy(rank, "doc_id").limit(2 * most))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where(F.length("text") <= longest).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    line = Window.orderBy("rank", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("rank", rank).orderBy("rank", "doc_id", "text").limit(3 * most)  # ids may repeat
+    rows = rows.withColumn("upto", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(line)).where(F.col("upto") <= characters)
+    rows = rows.select("doc_id", "text", "toxic").toPandas()
     rows = rows.sort_values(["doc_id", "text"], kind="stable")
     return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
 
