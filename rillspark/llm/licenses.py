@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillspark.llm import bytescan
@@ -230,14 +230,16 @@ def fit(unknown: list[str], seed: int = 3, rounds: int = 150, rate: float = 0.5,
     return Scanner(families, weights, best[1], min(threshold, 0.99), shapes)
 
 
-def train(docs: DataFrame, most: int = 400, longest: int = 20_000, text_col: str = "text") -> Scanner:
-    """Fit with the lines of at most ``most`` different texts of up to ``longest`` characters as unknown text.
+def train(docs: DataFrame, most: int = 400, characters: int = 2_000_000, text_col: str = "text") -> Scanner:
+    """Fit with the lines of at most ``most`` different texts, ``characters`` in all, as unknown text.
 
-    They are the first by a hash of the text, so reruns agree; only they come to the driver.
+    They are the first by a hash of the text, whole and of any length, so reruns agree; only they come to the driver.
     """
-    short = docs.where(F.length(text_col) <= longest).select(text_col, F.xxhash64(text_col).alias("order"))
-    last = short.select("order").distinct().orderBy("order").limit(most).agg(F.max("order")).first()[0]
-    some = short.where(F.col("order") <= F.lit(last)).dropDuplicates(["order"]).orderBy("order").select(text_col)  # ``most`` rows
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("order"), F.length(text_col).alias("length"))
+    line = Window.orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
+    first = texts.groupBy("order").agg(F.max("length").alias("length")).orderBy("order").limit(most)
+    last = first.withColumn("upto", F.sum("length").over(line)).where(F.col("upto") <= characters).agg(F.max("order")).first()[0]
+    some = docs.select(text_col, F.xxhash64(text_col).alias("order")).where(F.col("order") <= F.lit(last)).dropDuplicates(["order"]).orderBy("order").select(text_col)
     lines = [line for row in some.collect() for line in row[0].split("\n") if line.strip()]
     return fit(lines)
 
