@@ -271,6 +271,34 @@ def test_evolution_never_gets_worse_and_meets_the_bound():
     assert len(child.bins) == 600 and child.fill.max() <= 1024 and child.fill.sum() == lengths.sum()
 
 
+def least_bins(lengths, capacity):
+    """By trying all ways: the fewest sequences that hold all items."""
+    best = [len(lengths)]
+
+    def put(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(rooms)
+            return
+        for i in range(len(rooms)):
+            if rooms[i] >= lengths[k] and rooms[i] not in rooms[:i]:
+                put(k + 1, [*rooms[:i], rooms[i] - lengths[k], *rooms[i + 1 :]])
+        put(k + 1, [*rooms, capacity - lengths[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_packing_meets_small_exact_optima(spark):
+    rng = np.random.default_rng(12)
+    for _ in range(25):
+        lengths = np.sort(rng.integers(120, 700, 11))[::-1].astype(np.int64)
+        assert len(packing.evolved(lengths, [], 1024, 2, 4, 40).fill) == least_bins(lengths.tolist(), 1024)
+    pieces = spark.createDataFrame([(i, int(x)) for i, x in enumerate(lengths)], "doc_id long, length long")
+    assert packing.pack(pieces).select("sequence_id").distinct().count() == least_bins(lengths.tolist(), 1024)
+
+
 # 5: licences
 
 
@@ -582,6 +610,27 @@ def test_pipeline_stages(spark):
     assert out.where("length > 1024").count() == 0 and out.select("doc_id").distinct().count() == len(seen)
 
 
+@pytest.mark.parametrize("at", range(5))
+def test_pipeline_stages_take_odd_rows_and_empty_tables(spark, docs, none, at):
+    """Nulls in every column, empty, blank and very long texts, ties, repeated rows and columns with clashing names."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[at]
+    more = docs.withColumns({"hub": F.lit(1), "part": F.lit("p"), "run": F.lit(2), "gone id": F.lit(3), "toxicity": F.lit(0.1), "finish": F.lit(1.0), "sequence_id": F.lit(9), "length": F.lit(7)})
+    for df in (docs, more):
+        out = stage(spark, df, SF)
+        rows = out.collect()
+        if name == "best-fit packing":
+            assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in df.select("doc_id").collect()}
+            continue
+        assert out.columns == df.columns, name
+        texts = {r["text"] for r in rows}
+        whole = {r["text"] for r in df.select("text").collect()}
+        assert name == "mixing to target weights" or texts <= whole
+        assert name == "mixing to target weights" or "two words" in texts
+    assert stage(spark, none, SF).count() == 0
+
+
 def test_pipeline_keeps_clean_documents(spark):
     from corpus_pipeline import drop_copies, drop_near_copies
 
