@@ -77,31 +77,38 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[s
     """One row per call and per result without a call.
 
     ``calls``: conv_id, turn, call_id, name, arguments (JSON text), depends_on. ``results``: conv_id, turn, call_id,
-    content. Repeated identifiers: the smallest row counts, ``copies`` says how many calls there were. Null identifiers
-    link with nothing and are left out of the calls. Returns conv_id, call_id, status ("linked", "open", "orphan"),
-    call_turn, result_turn, level, position (its place among the events, by level and turn, calls before orphans, as a
-    sortable text), errors, and json: sorted keys, no blanks, nulls left out.
+    content. Repeated identifiers: the smallest row counts, ``copies`` and ``result_copies`` say how many there were. Null
+    identifiers link with nothing and come out as they are. Returns conv_id, call_id, status ("linked", "open", "orphan",
+    "nameless call", "nameless result"), call_turn, result_turn, level, position (its place among the events, by level and
+    turn, calls before results alone, as a sortable text), errors, and json: sorted keys, no blanks, nulls left out.
+    Other columns play no part. Empty tables give an empty one.
     """
+    nameless = calls.where("call_id is null").select("conv_id", F.lit("nameless call").alias("status"), F.col("turn").alias("call_turn"), "name", "arguments", F.lit(1).cast("long").alias("copies"))
+    unnamed = results.where("call_id is null").select("conv_id", F.lit("nameless result").alias("status"), F.col("turn").alias("result_turn"), "content", F.lit(1).cast("long").alias("result_copies"))
+    calls = calls.select("conv_id", "turn", "call_id", "name", "arguments", "depends_on")
+    results = results.select("conv_id", "turn", "call_id", "content")
     calls = staged(once(calls.where("call_id is not null"), "call_id", ["turn", "conv_id", "name", "arguments"]), "calls")
-    results = once(results.where("call_id is not null"), "call_id", ["turn", "conv_id", "content"]).drop("copies")
+    results = once(results.where("call_id is not null"), "call_id", ["turn", "conv_id", "content"]).withColumnRenamed("copies", "result_copies")
     levels = topological_levels(calls)
-    right = results.select(F.col("call_id").alias("of"), F.col("conv_id").alias("result_conv"), F.col("turn").alias("result_turn"), "content")
+    right = results.select(F.col("call_id").alias("of"), F.col("conv_id").alias("result_conv"), F.col("turn").alias("result_turn"), "content", "result_copies")
     both = calls.join(levels, "call_id").join(right, F.col("call_id") == F.col("of"), "full")
     status = F.when(F.col("call_id").isNull(), "orphan").when(F.col("of").isNull(), "open").otherwise("linked")
     both = both.select(
         F.coalesce("conv_id", "result_conv").alias("conv_id"), F.coalesce("call_id", "of").alias("call_id"), status.alias("status"), F.col("turn").alias("call_turn"),
-        "result_turn", "level", "name", "arguments", "content", "copies",
+        "result_turn", "level", "name", "arguments", "content", "copies", "result_copies",
     )
-    errors = F.when(F.col("status") != "orphan", broken_rules(F.col("name"), F.col("arguments"), schemas)).otherwise(F.array().cast("array<string>"))
+    both = both.unionByName(nameless, allowMissingColumns=True).unionByName(unnamed, allowMissingColumns=True)
+    alone = F.col("status").isin("orphan", "nameless result")
+    errors = F.when(~alone, broken_rules(F.col("name"), F.col("arguments"), schemas)).otherwise(F.array().cast("array<string>"))
     place = F.format_string("%010d.%010d", F.coalesce("level", F.lit(-1)), F.coalesce("call_turn", "result_turn", F.lit(-1)))
-    out = both.withColumn("errors", errors).withColumn("position", F.concat(place, F.when(F.col("status") == "orphan", ".1").otherwise(".0")))
+    out = both.withColumn("errors", errors).withColumn("position", F.concat(place, F.when(alone, ".1").otherwise(".0")))
     line = F.to_json(
         F.struct(
             F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), "name", F.col("content").alias("result"), "status",
             (F.size("errors") == 0).alias("valid"),
         )
     )
-    return out.select("conv_id", "call_id", "status", "call_turn", "result_turn", "level", "position", "copies", F.array_join("errors", "; ").alias("errors"), line.alias("json"))
+    return out.select("conv_id", "call_id", "status", "call_turn", "result_turn", "level", "position", "copies", "result_copies", F.array_join("errors", "; ").alias("errors"), line.alias("json"))
 
 
 def identifier(conv_id: Column, turn: Column) -> Column:

@@ -148,7 +148,7 @@ WITH RECURSIVE m AS (
 )
 SELECT conv_id, call_id, status, call_turn, result_turn, level,
        format('{:010d}.{:010d}', coalesce(level, -1), coalesce(call_turn, result_turn)) || CASE WHEN status = 'orphan' THEN '.1' ELSE '.0' END AS position,
-       CASE WHEN status <> 'orphan' THEN 1 END AS copies, errors,
+       CASE WHEN status <> 'orphan' THEN 1 END AS copies, CASE WHEN status <> 'open' THEN 1 END AS result_copies, errors,
        '{' || CASE WHEN status <> 'orphan' THEN '"arguments":{"prompt":' || to_json(prompt) || ',"words":' || words || '},' ELSE '' END || '"id":"' || call_id || '",'
        || CASE WHEN status <> 'orphan' THEN '"name":"' || name || '",' ELSE '' END || CASE WHEN status <> 'open' THEN '"result":' || to_json(content) || ',' ELSE '' END
        || '"status":"' || status || '","valid":' || (errors = '')::VARCHAR || '}' AS json
