@@ -239,7 +239,7 @@ def train(docs: DataFrame, most: int = 400, characters: int = 2_000_000, text_co
     line = Window.orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
     first = texts.groupBy("order").agg(F.max("length").alias("length")).orderBy("order").limit(most)
     last = first.withColumn("upto", F.sum("length").over(line)).where(F.col("upto") <= characters).agg(F.max("order")).first()[0]
-    some = docs.select(text_col, F.xxhash64(text_col).alias("order")).where(F.col("order") <= F.lit(last)).dropDuplicates(["order"]).orderBy("order").select(text_col)
+    some = docs.where(F.col(text_col).isNotNull()).select(text_col, F.xxhash64(text_col).alias("order")).where(F.col("order") <= F.lit(last)).dropDuplicates(["order"]).orderBy("order").select(text_col)
     lines = [line for row in some.collect() for line in row[0].split("\n") if line.strip()]
     return fit(lines)
 
