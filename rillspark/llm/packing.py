@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.llm.common import small_batches, staged
+from rillspark.llm.common import dropped, small_batches, staged
 
 #: The alternative of the split pattern that leaves the last of several white-space characters to the next word.
 LOOK_AHEAD = r"\s+(?!\S)|"
@@ -211,8 +211,12 @@ def packed_blocks(items: DataFrame, n_items: int, capacity: int, block: int, isl
         return work
 
     kind = "block bigint, island int, items array<bigint>, lengths array<bigint>, genome array<int>, bins int"
+    before = None
     for number in range(epochs):
         state = staged(state.mapInPandas(epoch(number), kind), "islands")
+        if before:
+            dropped(before)
+        before = state
         if number < epochs - 1:
             elite = state.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("genome").alias("guest"))
             state = state.join(elite, ["block", "island"]).withColumn("elites", F.array("genome", "guest"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.llm import bytescan
-from rillspark.llm.common import small_batches, staged
+from rillspark.llm.common import dropped, small_batches, staged
 
 #: The cover's period: 24 r^2 + 36 r + 13 for r = 1; its 6 r + 4 residues come from Colbourn and Ling's rule.
 COVER = 73
@@ -297,7 +297,9 @@ def repeated_spans(docs: DataFrame, span: int, most: int) -> DataFrame:
     prints = parts.where("raw is null")
     twice = prints.groupBy("print_a", "print_b").agg(F.count("*").alias("n")).where("n > 1").select("print_a", "print_b")
     crowded = prints.where("not known").join(twice, ["print_a", "print_b"], "left_semi").select(*ROW, "low", "high")
-    return spans.unionByName(sorted_buckets(parts.where("raw is not null"), span)).unionByName(crowded)
+    out = staged(spans.unionByName(sorted_buckets(parts.where("raw is not null"), span)).unionByName(crowded), "spans")
+    dropped(rows, covers, parts)
+    return out
 
 
 def remove_repeats(docs: DataFrame, span: int = 400, most: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
