@@ -48,6 +48,11 @@ def queue_source_dedup(spark, sf):
     return files.once_per_id(rows, "correlation_id", ["event_id"])
 
 
+@query("b02_print_table_sink", f"SELECT 'clicks> +I[' || user_id || ', ' || event_type || ']' AS line, count(*) AS n FROM {E} GROUP BY 1")
+def print_table_sink(spark, sf):
+    return sinks.printed(clicks(spark, sf).select("user_id", "event_type"), "clicks").groupBy("line").agg(F.count("*").alias("n"))
+
+
 @query("b04_bucketed_file_sink", f"SELECT strftime(ts, '%Y-%m-%d %H') AS bucket, count(*) AS n FROM {E} GROUP BY 1")
 def bucketed_file_sink(spark, sf):
     path = scratch(spark, "buckets")

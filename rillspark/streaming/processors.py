@@ -62,6 +62,7 @@ class Ordered(StatefulProcessor):
             yield pd.DataFrame(out, columns=self.columns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self.now_ms = timerValues.getCurrentProcessingTimeInMs() if self.time_mode == "ProcessingTime" else None
         frame = pd.concat(list(rows)).rename(columns=self.names).sort_values(["at", "id"], kind="stable")
         yield from self.emitted([x for row in frame.itertuples() for x in self.row(key[0], row)])
 
@@ -419,6 +420,19 @@ class EventTimer(Ordered):
         return [(key, at_ms, n)]
 
 
+class ProcessingTimer(EventTimer):
+    """The same by the time that rows are handled: one timer per key and micro-batch."""
+
+    time_mode = "ProcessingTime"
+
+    def row(self, key, row):
+        at = (self.now_ms + self.delay_ms,)
+        n = self.setters.getValue(at)[0] if self.setters.containsKey(at) else 0
+        self.setters.updateValue(at, (n + 1,))
+        self.handle.registerTimer(at[0])
+        return []
+
+
 class ManualWindow(Ordered):
     """Tumbling windows kept by hand: a count per window start, which comes out at the window's end; with ``step_ms``
     also at every whole step inside the window from the key's first row on, as far as rows had come by then."""

@@ -88,6 +88,16 @@ def rank_closed_windows(path: str, key: str, n: int) -> Callable[[DataFrame, int
     return write
 
 
+def rank_all_writer(path: str, key: str, n: int) -> Callable[[DataFrame, int], None]:
+    """A batch writer of the top list over everything so far, from counts in complete mode; the last number is the newest."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        best = batch.orderBy(F.desc("cnt"), key).limit(n)
+        best.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{path}/number={number}")
+
+    return write
+
+
 def control_writer(control: Callable[[], DataFrame], value: str, threshold: str, default: float, path: str) -> Callable[[DataFrame, int], None]:
     """A batch writer that re-reads the control table for every micro-batch and keeps rows above its last value."""
 

@@ -14,12 +14,23 @@ def console(rows: DataFrame, label: str, mode: str = "append") -> StreamingQuery
     return rows.withColumn("label", F.lit(label)).writeStream.format("console").outputMode(mode).start()
 
 
+def printed(rows: DataFrame, label: str, op: str = "+I") -> DataFrame:
+    """One line per row, as a print table shows it: label, kind of change, and the fields."""
+    fields = F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in rows.columns])
+    return rows.select(F.concat(F.lit(f"{label}> {op}["), fields, F.lit("]")).alias("line"))
+
+
 def memory_table(rows: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> StreamingQuery:
     """A table that shows what a stream has emitted, for tests and demonstrations."""
     writer = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
+def memory_table_live(rows: DataFrame, name: str) -> StreamingQuery:
+    """The same for a source that never ends."""
+    return rows.writeStream.format("memory").queryName(name).start()
+
+
 def started(writer: DataStreamWriter, every: str | None) -> StreamingQuery:
     """Start with a trigger every so often, or, without one, over what is there now."""
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -39,7 +39,7 @@ def batch(spark, folder):
 
 
 def drained(spark, df, tmp_path, mode="append"):
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     name = f"t{abs(hash(str(tmp_path)))}"
     query = sinks.memory_table(df, name, mode, str(tmp_path / "checkpoint"))
     query.awaitTermination(180)
@@ -170,6 +170,80 @@ def test_processors_take_other_columns(spark, folder, tmp_path):
     same(out.where("who <> 'u1000000000'").withColumn("running_sum", F.round("running_sum", 6)), want.withColumn("running_sum", F.round("running_sum", 6)), ["who", "no", "running_sum"])
 
 
+def test_processing_timers_fire(spark, folder, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    some = spark.readStream.schema(SCHEMA).parquet(f"{folder}/f0")
+    q = processors.run(some, "user_id", processors.ProcessingTimer(100)).writeStream.format("memory").queryName("proc_timers").start()
+    want = {r["user_id"]: r["n"] for r in spark.read.schema(SCHEMA).parquet(f"{folder}/f0").groupBy("user_id").agg(F.count("*").alias("n")).collect()}
+    for _ in range(120):
+        if spark.table("proc_timers").count() >= len(want):
+            break
+        time.sleep(0.5)
+    q.stop()
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert {r["user_id"]: r["set_by"] for r in spark.table("proc_timers").collect()} == want
+
+
+@pytest.mark.parametrize("processor", [processors.RunningSum(), processors.FiveStates("event_type")], ids=lambda x: type(x).__name__)
+def test_state_outlives_a_restart(spark, folder, tmp_path, processor):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    out = str(tmp_path / "out")
+    write = lambda df, number: df.write.mode("overwrite").parquet(f"{out}/number={number}")
+    for part in (f"{folder}/f[01]", f"{folder}/*"):
+        df = processors.run(files.timed_stream(spark, part, SCHEMA, "ts", "1 hour"), "user_id", processor)
+        sinks.each_batch(df, write, str(tmp_path / "c")).awaitTermination(180)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    got = spark.read.schema(processor.schema).parquet(f"{out}/number=*").where("user_id < 1000000000")
+    column = "running_sum" if "running_sum" in processor.columns else "reduced"
+    want = aggregates.running_sum(batch(spark, folder), "user_id", "vc", ORDER).withColumnRenamed("running_sum", column)
+    same(got, want, ["user_id", "event_id", column])
+
+
+def test_top_list_over_everything(spark, folder, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    counts = stream(spark, folder).where("event_type <> 'end'").groupBy("user_id").agg(F.count("*").alias("cnt"))
+    out = str(tmp_path / "top")
+    q = counts.writeStream.outputMode("complete").foreachBatch(queries.rank_all_writer(out, "user_id", 3)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    got = spark.read.schema("user_id bigint, cnt bigint, number int").parquet(f"{out}/number=*")
+    last = got.agg(F.max("number")).first()[0]
+    same(got.where(F.col("number") == last), topn.topn_global(batch(spark, folder), "user_id", 3), ["user_id", "cnt"])
+
+
+def test_lines_from_a_socket(spark):
+    import socket
+    import threading
+
+    from rillspark.sources import external
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        conn, _ = server.accept()
+        conn.sendall(b"one two\nthree\n")
+        time.sleep(20)
+        conn.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    q = sinks.memory_table_live(external.socket_stream(spark, "127.0.0.1", server.getsockname()[1]), "socket_lines")
+    for _ in range(60):
+        if spark.table("socket_lines").count() == 2:
+            break
+        time.sleep(0.5)
+    q.stop()
+    assert sorted(r["value"] for r in spark.table("socket_lines").collect()) == ["one two", "three"]
+
+
+def test_console_takes_all_rows(spark, folder):
+    """What it prints goes to the JVM's own output, which a test can't read."""
+    q = sinks.console(stream(spark, folder).where("event_type = 'end'").select("event_id"), "last row")
+    q.processAllAvailable()
+    done = q.recentProgress
+    q.stop()
+    assert q.exception() is None and sum(p["numInputRows"] for p in done) == batch(spark, folder).count() + 1
+
+
 def test_event_timers_fire_once_each(spark, folder, tmp_path):
     out = drained(spark, processors.run(stream(spark, folder), "user_id", processors.EventTimer(10_000)), tmp_path)
     want = state.event_timers(batch(spark, folder), "user_id", "ts", 10).withColumn("fire_ms", F.unix_millis(F.col("fire_time").cast("timestamp")))
