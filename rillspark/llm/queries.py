@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillspark.llm import licenses
 from rillspark.llm.chat import linked_calls, turn_calls
+from rillspark.llm.decontaminate import contamination
 from rillspark.llm.embed_dedup import embedding_groups
 from rillspark.llm.exact_dedup import exact_groups
 from rillspark.llm.minhash import near_groups
@@ -173,9 +174,38 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), span=10)
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') AS w FROM documents
+), b AS (
+    SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') AS w FROM benchmark
+), bw AS (
+    SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
+    FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+), dw AS (
+    SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+    FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))
+), occ AS (
+    SELECT r, i, n, item FROM dw JOIN bw USING (n, win)
+), hit AS (
+    SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM occ)) GROUP BY r
+), its AS (
+    SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM occ WHERE item IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard": op1_shard, "op2_embed_dedup": op2_embed_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_pack": op4_pack, "op5_licenses": op5_licenses, "op6_toxicity": op6_toxicity, "op7_mix": op7_mix, "op8_chat": op8_chat, "op9_minhash": op9_minhash, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_shard": op1_shard, "op2_embed_dedup": op2_embed_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_pack": op4_pack, "op5_licenses": op5_licenses, "op6_toxicity": op6_toxicity, "op7_mix": op7_mix, "op8_chat": op8_chat, "op9_minhash": op9_minhash, "op10_exact_dedup": op10_exact_dedup, "op13_decontaminate": op13_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embed_dedup": OP2_SQL, "op7_mix": OP7_SQL, "op8_chat": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_embed_dedup": OP2_SQL, "op7_mix": OP7_SQL, "op8_chat": OP8_SQL, "op10_exact_dedup": OP10_SQL, "op13_decontaminate": OP13_SQL}
