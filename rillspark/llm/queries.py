@@ -12,6 +12,7 @@ from rillspark.llm.chat import linked_calls, turn_calls
 from rillspark.llm.decontaminate import contamination
 from rillspark.llm.embed_dedup import embedding_groups
 from rillspark.llm.exact_dedup import exact_groups
+from rillspark.llm.merkle import hashed, hexed, leaf_hash, proofs
 from rillspark.llm.minhash import near_groups
 from rillspark.llm.mixing import mix, taken_per_document
 from rillspark.llm.packing import added_tokens, pack, token_pieces
@@ -174,6 +175,56 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the checksum of the doc_id, n_chars is tampered with; a null id or a null n_chars is left alone."""
+    docs, n_chars = read(spark, sf_dir, "documents"), F.col("n_chars")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    leaf = lambda n: leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    rows = proofs(docs, "lang", "doc_id", leaf(n_chars), leaf(F.when(tampered, n_chars + 1).otherwise(n_chars)), ("doc_id",))
+    proof = hashed(F.array_join(F.transform("siblings", hexed), ""))
+    return rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
+#: CRC-32 of ASCII text in DuckDB, which has no function for it.
+CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
+
+def leaf_sql(n_chars: str) -> str:
+    return f"sha256({' || '.join(f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')" for v in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS r, *, CASE WHEN {CRC.format("doc_id::VARCHAR")} % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS m FROM documents
+), h AS (
+    SELECT r, doc_id, lang, {leaf_sql("n_chars")} AS leaf, {leaf_sql("m")} AS other FROM d
+), l AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM h
+), t AS (
+    SELECT lang, 0 AS level, place, n, leaf AS digest FROM l
+    UNION ALL SELECT lang, level + 1, place // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY place)) FROM t WHERE n > 1 GROUP BY ALL
+), s AS (
+    SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM t WHERE n = 1
+), u AS (
+    SELECT 0 AS level, place, n, digest FROM s
+    UNION ALL SELECT level + 1, place // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY place)) FROM u WHERE n > 1 GROUP BY ALL
+), c AS (
+    SELECT r, lang, 0 AS level, place, n, other AS folded, '' AS path FROM l
+    UNION ALL
+    SELECT r, c.lang, c.level + 1, c.place // 2, (c.n + 1) // 2, sha256(CASE WHEN c.place % 2 = 1 THEN coalesce(t.digest, '') || folded ELSE folded || coalesce(t.digest, '') END), path || coalesce(t.digest, '')
+    FROM c LEFT JOIN t ON t.lang IS NOT DISTINCT FROM c.lang AND t.level = c.level AND t.place = xor(c.place, 1) WHERE c.n > 1
+), e AS (
+    SELECT r, 0 AS level, s.place, s.n, folded, path FROM c JOIN s ON c.lang IS NOT DISTINCT FROM s.lang WHERE c.n = 1
+    UNION ALL
+    SELECT r, e.level + 1, e.place // 2, (e.n + 1) // 2, sha256(CASE WHEN e.place % 2 = 1 THEN coalesce(u.digest, '') || folded ELSE folded || coalesce(u.digest, '') END), path || coalesce(u.digest, '')
+    FROM e LEFT JOIN u ON u.level = e.level AND u.place = xor(e.place, 1) WHERE e.n > 1
+)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, (SELECT digest FROM u WHERE n = 1) AS root, sha256(path) AS proof_sha256,
+       folded AS folded_root, folded = (SELECT digest FROM u WHERE n = 1) AS verified
+FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang JOIN e ON e.r = l.r WHERE e.n = 1
+"""
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), span=10)
     return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -181,9 +232,9 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP13_SQL = r"""
 WITH d AS (
-    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') AS w FROM documents
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), b AS (
-    SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') AS w FROM benchmark
+    SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), bw AS (
     SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
     FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
@@ -204,8 +255,8 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard": op1_shard, "op2_embed_dedup": op2_embed_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_pack": op4_pack, "op5_licenses": op5_licenses, "op6_toxicity": op6_toxicity, "op7_mix": op7_mix, "op8_chat": op8_chat, "op9_minhash": op9_minhash, "op10_exact_dedup": op10_exact_dedup, "op13_decontaminate": op13_decontaminate}
+    return {"op1_shard": op1_shard, "op2_embed_dedup": op2_embed_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_pack": op4_pack, "op5_licenses": op5_licenses, "op6_toxicity": op6_toxicity, "op7_mix": op7_mix, "op8_chat": op8_chat, "op9_minhash": op9_minhash, "op10_exact_dedup": op10_exact_dedup, "op12_merkle": op12_merkle, "op13_decontaminate": op13_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embed_dedup": OP2_SQL, "op7_mix": OP7_SQL, "op8_chat": OP8_SQL, "op10_exact_dedup": OP10_SQL, "op13_decontaminate": OP13_SQL}
+    return {"op2_embed_dedup": OP2_SQL, "op7_mix": OP7_SQL, "op8_chat": OP8_SQL, "op10_exact_dedup": OP10_SQL, "op12_merkle": OP12_SQL, "op13_decontaminate": OP13_SQL}
