@@ -16,6 +16,7 @@ from rillspark.llm.merkle import hashed, hexed, leaf_hash, proofs
 from rillspark.llm.minhash import near_groups
 from rillspark.llm.mixing import mix, taken_per_document
 from rillspark.llm.packing import added_tokens, pack, token_pieces
+from rillspark.llm.repair import repaired
 from rillspark.llm.sharding import shard
 
 from rillspark.llm.suffix_dedup import remove_repeats
@@ -175,6 +176,62 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def damaged_repairs(turns: DataFrame) -> DataFrame:
+    """``turns`` damaged by a checksum of conversation and turn (nulls read as one space), and the cheapest repairs."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    harm = F.crc32(F.concat_ws(":", text("conv_id"), text("turn")).cast("binary")) % 20
+    said = F.when(harm == 1, "").when(harm == 2, F.translate(text("text"), ".!?", "")).otherwise(text("text"))
+    rows = turns.select(
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("none")).alias("conv"), "turn",
+        F.when(harm == 4, "user").otherwise(text("role")).alias("role"), said.alias("text"),
+        F.when(harm == 0, 0).when(harm == 3, 2).otherwise(1).cast("bigint").alias("copies"),
+    )
+    kind = turns.schema["conv_id"].dataType
+    return repaired(rows).select(F.when(F.col("conv") != "none", F.substring("conv", 2, 1 << 30)).cast(kind).alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged_repairs(read(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of ASCII text in DuckDB, which has no function for it.
+CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
+OP11_SQL = f"""
+WITH RECURSIVE h AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS harm FROM conversations
+), d AS (
+    SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(CASE harm WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h
+), o AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS n, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tail FROM d
+), f AS (
+    SELECT conv_id, turn, role, text, n, left(role, 1) AS r, tail = '' AS blank, tail <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS dup, right(tail, 1) NOT IN ('.', '!', '?') AS cut,
+           left(role, 1) || left(lead(role) OVER (PARTITION BY conv_id ORDER BY n), 1) AS pair FROM o
+), step(q1, lead, q2, said) AS (VALUES ('0', 's', 'S', ''), ('0', 'u', 'U', 'user'), ('S', 'u', 'U', 'user'), ('U', 'a', 'A', 'assistant'), ('A', 'u', 'U', 'user')
+), e AS (
+    SELECT conv_id, n, q1, 'D' AS op, q1 AS q2, 4 AS cost, '' AS line FROM f, (VALUES ('0'), ('S'), ('U'), ('A')) v(q1)
+    UNION ALL SELECT conv_id, n, q1, 'K', q2, CASE WHEN cut THEN 3 ELSE 0 END, chr(10) || role || ':' || text FROM f JOIN step ON r = lead WHERE NOT blank AND NOT dup
+    UNION ALL SELECT conv_id, n, q1, 'R', q2, CASE WHEN cut THEN 6 ELSE 3 END, chr(10) || said || ':' || text FROM f, step WHERE said <> '' AND NOT blank AND NOT dup
+), ins AS (
+    SELECT q1 AS q, q1, '' AS pre, 0 AS cost, '' AS line FROM (VALUES ('0'), ('S'), ('U'), ('A')) v(q1)
+    UNION ALL SELECT q1, q2, 'I', 3, chr(10) || said || ':' FROM step WHERE said <> ''
+    UNION ALL SELECT a.q1, b.q2, 'II', 6, chr(10) || a.said || ':' || chr(10) || b.said || ':' FROM step a JOIN step b ON a.q2 = b.q1 WHERE a.said <> '' AND b.said <> ''
+), t AS (
+    SELECT conv_id, max(n) + 1 AS n, q, {{'cost': min(cost), 'audit': min(pre), 'body': min(line)}} AS best FROM f, (SELECT * FROM ins WHERE q1 IN ('0', 'A') AND (q IN ('U', 'S') OR pre = '')) GROUP BY conv_id, q
+    UNION ALL
+    SELECT t.conv_id, e.n, ins.q, min({{'cost': ins.cost + e.cost + t.best.cost, 'audit': ins.pre || e.op || t.best.audit, 'body': ins.line || e.line || t.best.body}})
+    FROM t JOIN e ON e.conv_id IS NOT DISTINCT FROM t.conv_id AND e.n = t.n - 1 AND e.q2 = t.q JOIN ins ON ins.q1 = e.q1 GROUP BY ALL
+), c AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+           count(*) FILTER (cut AND NOT blank AND NOT dup) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(t.best.cost, 0)::BIGINT AS cost, coalesce(t.best.audit, '') AS audit, sha256(coalesce(substr(t.best.body, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id AND t.n = 1 AND t.q = '0'
+"""
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where 7 divides the checksum of the doc_id, n_chars is tampered with; a null id or a null n_chars is left alone."""
     docs, n_chars = read(spark, sf_dir, "documents"), F.col("n_chars")
@@ -185,10 +242,6 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
 
 
-#: CRC-32 of ASCII text in DuckDB, which has no function for it.
-CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
-
-
 def leaf_sql(n_chars: str) -> str:
     return f"sha256({' || '.join(f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')" for v in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
 
@@ -255,8 +308,8 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard": op1_shard, "op2_embed_dedup": op2_embed_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_pack": op4_pack, "op5_licenses": op5_licenses, "op6_toxicity": op6_toxicity, "op7_mix": op7_mix, "op8_chat": op8_chat, "op9_minhash": op9_minhash, "op10_exact_dedup": op10_exact_dedup, "op12_merkle": op12_merkle, "op13_decontaminate": op13_decontaminate}
+    return {"op1_shard": op1_shard, "op2_embed_dedup": op2_embed_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_pack": op4_pack, "op5_licenses": op5_licenses, "op6_toxicity": op6_toxicity, "op7_mix": op7_mix, "op8_chat": op8_chat, "op9_minhash": op9_minhash, "op10_exact_dedup": op10_exact_dedup, "op11_repair": op11_repair, "op12_merkle": op12_merkle, "op13_decontaminate": op13_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embed_dedup": OP2_SQL, "op7_mix": OP7_SQL, "op8_chat": OP8_SQL, "op10_exact_dedup": OP10_SQL, "op12_merkle": OP12_SQL, "op13_decontaminate": OP13_SQL}
+    return {"op2_embed_dedup": OP2_SQL, "op7_mix": OP7_SQL, "op8_chat": OP8_SQL, "op10_exact_dedup": OP10_SQL, "op11_repair": OP11_SQL, "op12_merkle": OP12_SQL, "op13_decontaminate": OP13_SQL}
