@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A separator of words: a space or one of the five control characters from tab to carriage return.
@@ -35,6 +35,13 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def stretches(text: Column, most: int, pieces: int = 10) -> Column:
+    """A text of at most ``most`` characters as it is; of a longer one that many, in stretches spread evenly from its start to its end."""
+    size = most // pieces
+    start = lambda i: (i * (F.length(text) - size) / (pieces - 1)).cast("int") + 1
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, start(i), F.lit(size))), "\n"))
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete the files of staged tables that no later plan reads."""
     for df in tables:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillspark.llm import bytescan
-from rillspark.llm.common import small_batches
+from rillspark.llm.common import small_batches, stretches
 
 BUCKETS, WINDOW, STRIDE = 1 << 15, 48, 24
 EDGES = string.punctuation.encode()
@@ -233,13 +233,14 @@ def fit(unknown: list[str], seed: int = 3, rounds: int = 150, rate: float = 0.5,
 def train(docs: DataFrame, most: int = 400, characters: int = 2_000_000, text_col: str = "text") -> Scanner:
     """Fit with the lines of at most ``most`` different texts, ``characters`` in all, as unknown text.
 
-    They are the first by a hash of the text, whole and of any length, so reruns agree; only they come to the driver.
+    They are the first by a hash of the text, so reruns agree; only they come to the driver. Of a text longer than a
+    twentieth of all characters, stretches of that length take part, so no text's length leaves the others without room.
     """
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("order"), F.length(text_col).alias("length"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("order"), F.least(F.length(text_col), F.lit(characters // 20)).alias("length"))
     line = Window.orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
     first = texts.groupBy("order").agg(F.max("length").alias("length")).orderBy("order").limit(most)
     last = first.withColumn("upto", F.sum("length").over(line)).where(F.col("upto") <= characters).agg(F.max("order")).first()[0]
-    some = docs.where(F.col(text_col).isNotNull()).select(text_col, F.xxhash64(text_col).alias("order")).where(F.col("order") <= F.lit(last)).dropDuplicates(["order"]).orderBy("order").select(text_col)
+    some = docs.where(F.col(text_col).isNotNull()).select(stretches(F.col(text_col), characters // 20).alias(text_col), F.xxhash64(text_col).alias("order")).where(F.col("order") <= F.lit(last)).dropDuplicates(["order"]).orderBy("order").select(text_col)
     lines = [line for row in some.collect() for line in row[0].split("\n") if line.strip()]
     return fit(lines)
 

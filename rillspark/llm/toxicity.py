@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from rillspark.llm import bytescan
-from rillspark.llm.common import small_batches
+from rillspark.llm.common import small_batches, stretches
 
 WINDOW, STRIDE = 32, 24
 BUCKETS, VECTORS, LEARNT, HIDDEN, ATTENTION = 1 << 16, 1 << 12, 5, 8, 8
@@ -276,21 +276,28 @@ def fit(texts: list[str], toxic: np.ndarray, turns: int = 3, steps: int = 300, b
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 700, characters: int = 6_000_000) -> Network | float:
-    """Fit on at most ``most`` toxic and 2 * ``most`` clean labelled texts, whole ones of any length, ``characters`` in all.
+    """Fit on at most ``most`` toxic and 2 * ``most`` clean labelled texts, ``characters`` in all: a third of them toxic.
 
-    The sample is the first by a hash of the id, so reruns agree. Labels with a null are left out; of several labels of
-    an id, toxic counts. The bounds hold whatever the corpus, so the texts may come to the driver, where it is fitted.
+    Each class takes its first texts by a hash of the id, so reruns agree. Of a text longer than a thirtieth of all
+    characters, stretches of that length take part; so each class has room for ten texts at least, whatever their length.
+    Of rows that share an id one takes part. Labels with a null, and those of no document, are left out; of several labels
+    of an id, toxic counts. The bounds hold whatever the corpus, so the texts may come to the driver, where it is fitted.
+    Without labels of both kinds their share of toxic ones takes the network's place.
     """
     small_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     rank = F.md5(F.col("doc_id").cast("string"))
     some = known.where("toxic = 1").orderBy(rank, "doc_id").limit(most).unionByName(known.where("toxic = 0").orderBy(rank, "doc_id").limit(2 * most))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    line = Window.orderBy("rank", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("rank", rank).orderBy("rank", "doc_id", "text").limit(3 * most)  # ids may repeat
-    rows = rows.withColumn("upto", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(line)).where(F.col("upto") <= characters)
-    rows = rows.select("doc_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], kind="stable")
+    cut = stretches(F.col("text"), characters // 30)
+    rows = docs.select("doc_id", cut.alias("text")).join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    line = Window.partitionBy("toxic").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("rank", rank).withColumn("upto", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(line))
+    share = F.when(F.col("toxic") == 1, characters // 3).otherwise(characters - characters // 3)
+    rows = rows.where(F.col("upto") <= share).select("doc_id", "text", "toxic").toPandas().sort_values("doc_id", kind="stable")
+    if rows["toxic"].nunique() == 1 and some.select("toxic").distinct().count() == 2:
+        raise RuntimeError("the sample has labels of one kind, the documents have both")
     return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
 
 
