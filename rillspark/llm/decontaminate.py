@@ -83,6 +83,19 @@ def covered(runs: Column) -> Column:
     return F.aggregate(runs, start, step, lambda a: a["n"])
 
 
+def maybe(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` isn't ``wanted``, so that texts without hits don't move.
+
+    It tests a bit of 2^23 by a hash of the key: a table of a megabyte at most, whatever is wanted. A join must follow.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << 23))
+    bits = wanted.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "bucket")
+    return marked.where(F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7)).cast("int")) % 2 == 1).drop("bucket", "bits")
+
+
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = 10) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside any window of an item), n_items and items (ids as strings, ascending).
 
@@ -102,7 +115,8 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     runs = seen.groupBy("text key").agg(F.collect_set(F.struct("n", "first", "last")).alias("runs"))
     runs = staged(runs, "hit-runs")
 
-    texts = docs.select(F.col(text).alias("text"), text_key.alias("text key")).join(runs, "text key")
+    texts = maybe(docs.select(F.col(text).alias("text"), text_key.alias("text key")), runs, "text key")
+    texts = texts.groupBy("text key").agg(F.any_value("text").alias("text")).join(runs, "text key")
     each = lambda w: F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["first"], r["last"]), lambda i: F.struct(r["n"].alias("n"), i.alias("first"), F.array_join(F.slice(w, i, r["n"]), " ").alias("window")))))
     found = texts.select("text key", F.explode(let(words(F.col("text")), each)).alias("w")).select("text key", "w.*").join(sets, ["n", "window"])
     spans = found.groupBy("text key").agg(F.array_sort(F.collect_set(F.struct("first", (F.col("first") + F.col("n")).alias("end")))).alias("spans"), F.array_sort(F.collect_set("set")).alias("sets"))
