@@ -1,7 +1,7 @@
 """Aggregates per key: running ones after every row, and final ones.
 
-Running forms use a window per key in (order) and carry no state across keys; final forms are plain group-bys, so that
-partial aggregation comes before the shuffle.
+Running forms are segmented scans (``scan.py``), which spread a key's rows over tasks; final forms are plain group-bys,
+so that partial aggregation comes before the shuffle.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillspark.operators import scan as S
 from rillspark.operators.ranges import in_ranges, with_earlier, within
 
 
@@ -27,24 +28,21 @@ def word_count(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def running_sum(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    return df.withColumn("running_sum", F.sum(value).over(so_far(key, order)))
+    return S.scan(df, key, order, running_sum=S.total(F.col(value)))
 
 
 def running_extreme(df: DataFrame, key: str, value: str, others: list[str], order: list[str], kind: str = "max") -> DataFrame:
     """The extreme of ``value`` so far; other fields stay those of the key's first row."""
-    w = so_far(key, order)
-    return df.select(key, *order, (F.max if kind == "max" else F.min)(value).over(w).alias(value), *[F.first(c).over(w).alias(f"first_{c}") for c in others])
+    rows = df.select(key, *order, F.col(value).alias("value so far"), *[F.col(c).alias(f"first_{c}") for c in others])
+    out = S.scan(rows, key, order, **{"value so far": S.extreme(F.col("value so far"), kind)}, **{f"first_{c}": S.first(F.col(f"first_{c}"), order) for c in others})
+    return out.select(key, *order, F.col("value so far").alias(value), *[f"first_{c}" for c in others])
 
 
 def running_extreme_row(df: DataFrame, key: str, value: str, others: list[str], order: list[str], kind: str = "max") -> DataFrame:
     """The extreme so far with the other fields of its row; of ties the first row counts."""
-    w = so_far(key, order)
     whole = F.struct(*[F.col(c) for c in [value, *others]])
-    before = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    rows = df.withColumn("nth", before)
-    rank = F.struct(F.col(value), -F.col("nth")) if kind == "max" else F.struct(-F.col(value), -F.col("nth"))
-    best = F.max_by(whole, rank).over(w)
-    return rows.withColumn("best", best).select(key, *order, *[F.col(f"best.{c}").alias(f"best_{c}") for c in [value, *others]])
+    out = S.scan(df, key, order, best=S.best(F.col(value) if kind == "max" else -F.col(value), whole))
+    return out.select(key, *order, *[F.col(f"best.{c}").alias(f"best_{c}") for c in [value, *others]])
 
 
 def keyed_reduce(df: DataFrame, key: str, value: str, time: str, order: list[str]) -> DataFrame:
@@ -90,8 +88,8 @@ def global_running_count(df: DataFrame, order: str) -> DataFrame:
 
 def running_reduce(df: DataFrame, key: str, value: str, time: str, order: list[str]) -> DataFrame:
     """The fold of each key after each row: the sum of ``value`` so far and the newest ``time``; the first comes out as it is."""
-    w = so_far(key, order)
-    return df.select(key, *order, F.sum(value).over(w).alias("sum_value"), F.max(time).over(w).alias("last_time"))
+    out = S.scan(df, key, order, sum_value=S.total(F.col(value)), last_time=S.extreme(F.col(time)))
+    return out.select(key, *order, "sum_value", "last_time")
 
 
 def predicate_running_sum(df: DataFrame, test: Column, value: str, order: list[str]) -> DataFrame:

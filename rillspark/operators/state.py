@@ -1,49 +1,88 @@
-"""Keyed state in batch form: what a stateful function emits after each row, from windows per key."""
+"""Keyed state in batch form: what a stateful function emits after each row, by segmented scans (``scan.py``)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def line(key: str, order: list[str]) -> Window:
-    return Window.partitionBy(key).orderBy(*order)
-
-
-def so_far(key: str, order: list[str]) -> Window:
-    return line(key, order).rowsBetween(Window.unboundedPreceding, 0)
+from rillspark.operators import scan as S
 
 
 def jump_alerts(df: DataFrame, key: str, value: str, order: list[str], jump: float) -> DataFrame:
     """Rows whose value differs from the key's one before, at first from 0, by more than ``jump``."""
-    rows = df.withColumn("previous", F.lag(value, 1, 0).over(line(key, order)))
+    rows = S.scan(df, key, order, previous=S.previous(F.col(value), order, 0))
     return rows.where(F.abs(F.col(value) - F.col("previous")) > jump)
 
 
-def top_so_far(df: DataFrame, key: str, value: str, order: list[str], n: int = 3) -> DataFrame:
-    """After each row the key's ``n`` largest values, falling.
+class Largest(S.State):
+    """The ``n`` largest values, falling. Nulls are no values."""
 
-    The list is folded row by row in Arrow batches: each step keeps ``n`` values, so a group's work grows with its rows. A
-    window of built-in functions would have to hold and sort all values so far at every row, the square of a group.
-    """
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, {', '.join(f'{c} {df.schema[c].dataType.simpleString()}' for c in order)}, top array<{df.schema[value].dataType.simpleString()}>"
-    rows = df.select(key, *order, value).repartition(key).sortWithinPartitions(key, *order)
+    def __init__(self, n: int, values: list | None = None) -> None:
+        self.n, self.values = n, values or []
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, best = None, []
-        for frame in frames:
-            lists = []
-            for k, v in zip(frame[key], frame[value], strict=True):
-                if k != now:
-                    now, best = k, []
-                best = sorted([*best, v], reverse=True)[:n]
-                lists.append(best)
-            yield frame[[key, *order]].assign(top=lists)
+    def rows(self, values: pa.Array) -> pa.Array:
+        out, best = [], self.values
+        for v in values.to_pylist():
+            if v is not None and (len(best) < self.n or v > best[-1]):
+                best = sorted([*best, v], reverse=True)[: self.n]
+            out.append(best)
+        self.values = best
+        return pa.array(out, pa.list_(values.type))
 
-    return rows.mapInPandas(work, schema)
+    def merged(self, later: Largest) -> None:
+        self.values = sorted(self.values + later.values, reverse=True)[: self.n]
+
+    def saved(self) -> list:
+        return self.values
+
+
+def top_so_far(df: DataFrame, key: str, value: str, order: list[str], n: int = 3) -> DataFrame:
+    """After each row the key's ``n`` largest values, falling. A step keeps ``n`` values, which a window can't."""
+    kind = f"array<{df.schema[value].dataType.simpleString()}>"
+    return S.folded(df, key, value, order, lambda: Largest(n), lambda saved: Largest(n, list(saved)), kind, "top", kind)
+
+
+class Counts(S.State):
+    """How often each value has come. Nulls are no values."""
+
+    def __init__(self, counts: dict | None = None) -> None:
+        self.counts = counts or {}
+
+    def rows(self, values: pa.Array) -> pa.Array:
+        """The map after each row, values ascending: a matrix of rows by values, added up along the rows, in blocks."""
+        new = [v for v in values.unique().to_pylist() if v is not None]
+        known = sorted(self.counts.keys() | set(new))
+        place = {v: i for i, v in enumerate(known)}
+        code = np.array([place.get(v, -1) for v in values.to_pylist()], np.int64)
+        now = np.array([self.counts.get(v, 0) for v in known], np.int64)
+        sizes, keys, numbers = [], [], []
+        block = max(1, (1 << 20) // max(len(known), 1))
+        for a in range(0, len(code), block):
+            some = code[a : a + block]
+            hits = np.zeros((len(some), len(known)), np.int64)
+            real = np.flatnonzero(some >= 0)
+            hits[real, some[real]] = 1
+            table = np.cumsum(hits, axis=0) + now
+            now = table[-1] if len(table) else now
+            row, column = np.nonzero(table)
+            sizes.append(np.bincount(row, minlength=len(some)))
+            keys.append(column)
+            numbers.append(table[row, column])
+        self.counts = {v: int(n) for v, n in zip(known, now, strict=True) if n}
+        offsets = np.r_[0, np.cumsum(np.concatenate(sizes))].astype(np.int32)
+        return pa.MapArray.from_arrays(pa.array(offsets), pa.array(known, values.type).take(pa.array(np.concatenate(keys))), pa.array(np.concatenate(numbers)))
+
+    def merged(self, later: Counts) -> None:
+        for v, n in later.counts.items():
+            self.counts[v] = self.counts.get(v, 0) + n
+
+    def saved(self) -> list:
+        return list(self.counts.items())
 
 
 def value_counts(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -54,33 +93,42 @@ def value_counts(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def running_value_counts(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """The value-to-count map after each row. The output itself grows with rows times values of a key; ``value_counts``
-    gives the last map only."""
-    seen = F.collect_list(value).over(so_far(key, order))
-    rows = df.select(key, *order, seen.alias("seen"))
-    count = lambda v: F.struct(v.alias("key"), F.size(F.filter("seen", lambda x: x == v)).cast("long").alias("value"))
-    return rows.select(key, *order, F.map_from_entries(F.transform(F.array_sort(F.array_distinct("seen")), count)).alias("counts"))
+    gives the last map only, ``value_count_changes`` the one entry that each row changes."""
+    kind = f"map<{df.schema[value].dataType.simpleString()},bigint>"
+    return S.folded(df, key, value, order, Counts, lambda saved: Counts(dict(saved)), kind, "counts", kind)
+
+
+def value_count_changes(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """After each row how often its value has come in its key."""
+    pair = df.select(key, *order, value).withColumn("pair", F.struct(key, value))
+    return S.scan(pair, "pair", order, n=S.rows_so_far()).select(key, *order, value, "n")
 
 
 def running_five_states(df: DataFrame, key: str, value: str, other: str, time: str, order: list[str]) -> DataFrame:
     """After each row, side by side: the value, the list's length, the map's size, the reduced sum with the first row's
     ``other`` and the newest time, and the average."""
-    w = so_far(key, order)
-    new = F.when(F.row_number().over(Window.partitionBy(key, value).orderBy(*order)) == 1, 1).otherwise(0)
-    return df.withColumn("new value", new).select(
-        key, *order, F.col(value).alias("value"), F.count(value).over(w).alias("list_size"), F.sum("new value").over(w).alias("map_size"),
-        F.sum(value).over(w).alias("reduced"), F.first(other).over(w).alias(f"first_{other}"), F.max(time).over(w).alias("newest"), F.avg(value).over(w).alias("average"),
+    rows = df.select(key, *order, F.col(value).alias("value"), F.col(other).alias(f"first_{other}"), F.col(time).alias("newest"), F.struct(key, value).alias("pair"))
+    rows = S.scan(rows, "pair", order, nth=S.rows_so_far()).drop("pair").withColumn("new", F.when((F.col("nth") == 1) & F.col("value").isNotNull(), 1).otherwise(0))
+    out = S.scan(
+        rows, key, order, list_size=S.known_so_far(F.col("value")), map_size=S.total(F.col("new")), reduced=S.total(F.col("value")),
+        **{f"first_{other}": S.first(F.col(f"first_{other}"), order)}, newest=S.extreme(F.col("newest")),
     )
+    return out.select(key, *order, "value", "list_size", "map_size", "reduced", f"first_{other}", "newest", mean("reduced", "list_size").alias("average"))
+
+
+def mean(total: str, count: str) -> Column:
+    return F.when(F.col(count) > 0, F.col(total) / F.col(count))
 
 
 def running_average(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    return df.withColumn("running_avg", F.avg(value).over(so_far(key, order)))
+    rows = S.scan(df, key, order, **{"sum so far": S.total(F.col(value)), "values so far": S.known_so_far(F.col(value))})
+    return rows.withColumn("running_avg", mean("sum so far", "values so far")).drop("sum so far", "values so far")
 
 
 def average_every(df: DataFrame, key: str, value: str, order: list[str], every: int) -> DataFrame:
     """At each ``every``-th row of a key, the whole-number average of all its values so far."""
-    w = so_far(key, order)
-    total, count = F.sum(value).over(w), F.count("*").over(w)
-    return df.withColumn("total", total).withColumn("n", count).where(F.col("n") % every == 0).withColumn("average", F.expr("total div n")).drop("total")
+    rows = S.scan(df, key, order, total=S.total(F.col(value)), n=S.rows_so_far())
+    return rows.where(F.col("n") % every == 0).withColumn("average", F.expr("total div n")).drop("total")
 
 
 def five_states(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
@@ -95,17 +143,16 @@ def with_expiry(df: DataFrame, key: str, value: str, time: str, order: list[str]
     State is written where ``value`` isn't null and read at every row; it lives ``ttl_s`` seconds from its last write,
     or with ``refresh_on_read`` from its last use while alive.
     """
-    at = F.unix_micros(time)
-    before = line(key, order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("at", at).withColumn("wrote", F.when(F.col(value).isNotNull(), F.col("at")))
+    ttl = ttl_s * 1_000_000
+    rows = df.withColumn("at", F.unix_micros(time)).withColumn("write", F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("value"), "at", F.struct(*order).alias("nth"))))
     if not refresh_on_read:
-        alive = F.col("at") - F.last("wrote", True).over(before) < ttl_s * 1_000_000
-        return rows.withColumn("held", F.when(alive, F.last(value, True).over(before))).drop("at", "wrote")
-    gap = F.col("at") - F.lag("at").over(line(key, order)) >= ttl_s * 1_000_000
-    life = F.sum(F.when(gap, 1).otherwise(0)).over(so_far(key, order))
-    rows = rows.withColumn("life", life)
-    within = Window.partitionBy(key, "life").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("held", F.last(value, True).over(within)).drop("at", "wrote", "life")
+        out = S.scan(rows, key, order, write=S.last_known(F.col("write"), order, -1))
+        return out.withColumn("held", F.when(F.col("at") - F.col("write.at") < ttl, F.col("write.value"))).drop("at", "write")
+    rows = S.scan(rows, key, order, **{"at before": S.previous(F.col("at"), order)})
+    lapse = F.when(F.col("at") - F.col("at before") >= ttl, F.struct(*order))
+    out = S.scan(rows.withColumn("lapse", lapse), key, order, write=S.last_known(F.col("write"), order, -1), lapse=S.last_known(F.col("lapse"), order))
+    alive = F.col("lapse").isNull() | (F.col("write.nth") >= F.col("lapse"))
+    return out.withColumn("held", F.when(alive, F.col("write.value"))).drop("at", "at before", "write", "lapse")
 
 
 def periodic_count(df: DataFrame, key: str, time: str, order: list[str], every_s: int) -> DataFrame:
