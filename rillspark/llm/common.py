@@ -39,7 +39,7 @@ def stretches(text: Column, most: int, pieces: int = 10) -> Column:
     """A text of at most ``most`` characters as it is; of a longer one that many, in stretches spread evenly from its start to its end."""
     size = most // pieces
     start = lambda i: (i * (F.length(text) - size) / (pieces - 1)).cast("int") + 1
-    return F.when(F.length(text) <= most, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, start(i), F.lit(size))), "\n"))
+    return F.when(text.isNull() | (F.length(text) <= most), text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, start(i), F.lit(size))), "\n"))
 
 
 def dropped(*tables: DataFrame) -> None:
