@@ -1,9 +1,11 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents are shuffled; a document that may be taken several times stands in line once per pass. Its
-virtual finish time is the source's cumulative words divided by the source's target. All rows are then sorted by finish
-time in ranges, the ranges' words are added up, and the line is cut where the running total meets the budget. That is at
-virtual time 1; the one document of each source that is in service there gives the words that its source's target leaves.
+Each source's documents are shuffled; a document that may be taken several times stands in line once per pass. As in fair
+queueing, what is served is packets: a document of up to ``PACKET`` words is one, a longer one several, in order. A
+packet's virtual finish time is its source's cumulative words up to its end divided by the source's target; a document's is
+that of its last packet. All packets are sorted by finish time in ranges, the ranges' words are added up, and the line
+is cut where the running total meets the budget: what stands before the cut is taken, the packet at it in part, nothing
+behind it. So a source ends within about one packet of its target.
 
 Cumulative sums never meet in one task: a source's line is split into ``spans`` ranges of the shuffle key, the ranges'
 sums are added up first, and rows are only counted within a range. The global sum over finish times goes the same way.
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 
 from rillspark.llm.common import WORD, staged
 
+#: The most words that are served at once.
+PACKET = 128
+
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -46,8 +51,8 @@ def targets(sizes: DataFrame, weights: list[float], budget: float, most: float,
 def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), budget: float = 1.5, passes: int = 2, spans: int = 1024, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row per document and pass: (id, source, pass, size, source_size, target, finish, total, taken).
 
-    ``taken`` words of the document are taken in that pass: all of them before the cut, a part of the one in service at
-    it, none after it. ``total`` counts the words up to the row in order of finish. Sources with a null name mix as one
+    ``taken`` words of the document are taken in that pass: those of its packets that stand before the cut. ``total``
+    counts the words up to the document's last packet in order of finish. Sources with a null name mix as one
     source; texts without words take part with size 0; the order is that of md5(id:pass), so reruns agree; repeated ids
     are told apart by size alone, which leaves sums alike. A source's line has at least ``spans`` ranges, and more so
     that none has over about 65,536 documents.
@@ -70,24 +75,27 @@ def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), budget: float = 1.5,
     sums = sums.join(wanted, sums[source_col].eqNullSafe(wanted["of"])).drop("of").withColumnRenamed(source_col, "of")
 
     within = Window.partitionBy(source_col, *place).orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    line = line.withColumn("upto", F.sum("size").over(within))
+    line = line.withColumn("upto", F.sum("size").over(within)).withColumn("nth", F.row_number().over(within.rowsBetween(Window.unboundedPreceding, 0)))
     line = line.join(sums, line[source_col].eqNullSafe(sums["of"]) & (line["pass"] == sums["pass"]) & (line["span"] == sums["span"])).drop(sums["pass"]).drop(sums["span"])
-    line = line.withColumn("end", F.col("base") + F.col("upto")).withColumn("finish", F.coalesce(F.try_divide("end", "target"), F.lit(0.0)))
-    line = line.select(id_col, source_col, "pass", "key", "size", "source_size", "target", "weight", "end", "finish")
-
-    order = ["finish", "key", "size"]
+    begin = F.col("base") + F.col("upto") - F.col("size")
+    packets = F.sequence(F.lit(0), F.greatest(F.floor((F.col("size") - 1) / PACKET), F.lit(0)).cast("int"))
+    whole = [id_col, source_col, *place, "nth", "key", "size", "source_size", "target", "weight"]
+    line = line.select(*whole, begin.alias("begin"), F.explode(packets).alias("packet"))
+    line = line.withColumn("words", F.least(F.col("size") - F.col("packet") * PACKET, F.lit(PACKET)))
+    end = F.col("begin") + F.col("packet") * PACKET + F.col("words")
+    line = line.withColumn("finish", F.coalesce(F.try_divide(end, "target"), F.lit(0.0))).drop("begin")
+
+    order = ["finish", "key", "size", "packet"]
     line = staged(line.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "finish-order")
-    ranges = line.groupBy("range").agg(F.sum("size").alias("words"))  # a row per partition
+    ranges = line.groupBy("range").agg(F.sum("words").alias("sum"))  # a row per partition
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("words before"))
+    ranges = ranges.select("range", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("words before"))
     upto = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    line = line.withColumn("in range", F.sum("size").over(upto)).join(F.broadcast(ranges), "range")
+    line = line.withColumn("in range", F.sum("words").over(upto)).join(F.broadcast(ranges), "range")
     line = line.withColumn("total", F.col("words before") + F.col("in range"))
-    share = F.floor("target").cast("long")
-    whole = (F.col("total") <= words_wanted) & (F.col("end") <= share)
-    part = F.greatest(F.lit(0), F.least("size", share - (F.col("end") - F.col("size"))))
-    taken = F.when(whole, F.col("size")).otherwise(part).cast("long")
-    return line.select(id_col, source_col, "pass", "key", "size", "source_size", "target", "weight", "finish", "total", taken.alias("taken"))
+    taken = F.greatest(F.lit(0), F.least("words", F.lit(words_wanted) - (F.col("total") - F.col("words"))))
+    out = line.withColumn("taken", taken).groupBy(*whole).agg(F.max("finish").alias("finish"), F.max("total").alias("total"), F.sum("taken").cast("long").alias("taken"))
+    return out.select(id_col, source_col, "pass", "key", "size", "source_size", "target", "weight", "finish", "total", "taken")
 
 
 def taken_per_document(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:

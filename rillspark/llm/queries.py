@@ -110,13 +110,18 @@ WITH words AS (
 ), wanted AS (
     SELECT source, source_size, least((source_size * 2)::DOUBLE, (SELECT x FROM level) * weight) AS target FROM sources
 ), line AS (
-    SELECT w.*, t.source_size, t.target,
+    SELECT w.*, t.source_size, t.target, pass, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || pass::VARCHAR) AS key,
            sum(size) OVER (PARTITION BY w.source ORDER BY pass, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || pass::VARCHAR), size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
     FROM words w JOIN wanted t ON w.source IS NOT DISTINCT FROM t.source CROSS JOIN (VALUES (0), (1)) AS p(pass)
+), packets AS (
+    SELECT *, least(size - 128 * packet, 128)::BIGINT AS n FROM (SELECT *, unnest(range(greatest(1, (size + 127) // 128))) AS packet FROM line)
+), served AS (
+    SELECT *, coalesce((upto - size + 128 * packet + n) / target, 0) AS finish FROM packets
+), total AS (
+    SELECT *, sum(n) OVER (ORDER BY finish, key, size, packet ROWS UNBOUNDED PRECEDING)::BIGINT AS upto_here, (SELECT sum(floor(target)::BIGINT) FROM wanted)::BIGINT AS budget FROM served
 )
-SELECT doc_id, size, source_size, target,
-       sum(greatest(0, least(size, floor(target)::BIGINT - (upto - size))))::BIGINT AS taken
-FROM line GROUP BY doc_id, size, source_size, target
+SELECT doc_id, size, source_size, target, sum(greatest(0, least(n, budget - (upto_here - n))))::BIGINT AS taken
+FROM total GROUP BY doc_id, size, source_size, target
 """
 
 
