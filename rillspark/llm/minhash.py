@@ -27,6 +27,8 @@ from rillspark.llm import bytescan
 from rillspark.llm.common import components, dropped, small_batches, staged, with_groups
 
 BINS, BANDS = 128, 32
+#: Word hashes that sketches are made of, and independent ones that pairs are confirmed on.
+SKETCHED, CONFIRMED = 0x1234567, 0x7654321
 #: About so many members of a bucket, or pairs of a hub, are one task's work at a time.
 CELL = 512
 SET = ["n_shingles", "set_a", "set_b"]
@@ -78,18 +80,17 @@ def long_lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_key, n_shingles, set_a, set_b, bands) of every row; set_a and set_b are two sums over scrambled shingles."""
+    """(id, text_key, n_shingles, set_a, set_b, bands) of every row; set_a and set_b are sums over the shingles' two independent hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, lend = bytescan.Powers(), lenders()
+        lend = lenders()
         for batch in batches:
             for first, data, offsets in bytescan.pieces(batch.column(1)):
-                found, counts = bytescan.shingles(*bytescan.words(data, offsets, powers), k)
-                doc = np.repeat(np.arange(len(counts)), counts)
                 sums = []
-                for seed in (11, 12):
+                for seed in (CONFIRMED, SKETCHED):
+                    found, counts = bytescan.shingles(*bytescan.word_hashes(data, offsets, seed), k)
                     total = np.zeros(len(counts), np.uint64)
-                    np.add.at(total, doc, bytescan.mixed(found, seed))
+                    np.add.at(total, np.repeat(np.arange(len(counts)), counts), bytescan.mixed(found, 11))
                     sums.append(pa.array(total.view(np.int64)))
                 keys = signatures(found, counts, lend)
                 bands = np.where(counts > 0, BANDS, 0)
@@ -107,10 +108,9 @@ def shingle_sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFra
     """(node, shingles): the whole set of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = bytescan.Powers()
         for batch in batches:
             for first, data, offsets in bytescan.pieces(batch.column(1)):
-                found, counts = bytescan.shingles(*bytescan.words(data, offsets, powers), k)
+                found, counts = bytescan.shingles(*bytescan.word_hashes(data, offsets, CONFIRMED), k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), long_lists(found, counts)], names=["node", "shingles"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
