@@ -6,10 +6,11 @@ import re
 import zlib
 from functools import lru_cache
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillspark.llm import decontaminate, licenses, merkle, queries, repair, toxicity
+from rillspark.llm import bytescan, decontaminate, licenses, merkle, minhash, mixing, queries, repair, toxicity
 from rillspark.llm.common import stretches
 
 SF = "/root/testdata/sf0.001"
@@ -274,3 +275,57 @@ def test_stretches_reach_both_ends(spark):
     got = spark.createDataFrame([("a" * 500 + "b" * 500,), ("short",), (None,)], "t string").select(stretches(F.col("t"), 100).alias("s"), "t").collect()
     assert got[0]["s"].replace("\n", "").startswith("a" * 40) and got[0]["s"].endswith("b" * 10) and len(got[0]["s"].replace("\n", "")) == 100
     assert got[1]["s"] == "short" and got[2]["s"] is None
+
+
+# 7: the order of finish decides what is taken
+
+
+def served(rows, wanted, order):
+    """{(doc, pass): words} of a line of packets in ``order``, cut at the sum of all targets."""
+    line, upto = [], {}
+    keyed = [(hashlib.md5(f"{d}:{p}".encode()).hexdigest(), d, s, n, p) for d, s, n in rows for p in (0, 1)]
+    for key, doc, source, size, turn in sorted(keyed, key=lambda r: (r[4], int(r[0][:8], 16), r[0], r[3])):
+        for k in range(max(1, -(-size // mixing.PACKET))):
+            n = min(size - k * mixing.PACKET, mixing.PACKET)
+            upto[source] = upto.get(source, 0) + n
+            line.append((upto[source] / wanted[source] if wanted[source] else 0.0, key, size, k, n, doc, turn))
+    left, out = sum(int(t) for t in wanted.values()), {}
+    for _, _, _, _, n, doc, turn in sorted(line, key=order):
+        out[doc, turn] = out.get((doc, turn), 0) + min(n, left)
+        left -= min(n, left)
+    return out
+
+
+def test_the_order_of_finish_decides(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice("aaaabbc"), rng.choice([0, 1, 30, 127, 128, 129, 700])) for i in range(200)]
+    docs = spark.createDataFrame([(i, s, "w " * n) for i, s, n in rows], "doc_id long, source string, text string")
+    got = mixing.mix(docs, spans=16).collect()
+    wanted = {r["source"]: r["target"] for r in got}
+    taken = {(r["doc_id"], r["pass"]): r["taken"] for r in got}
+    assert taken == served(rows, wanted, lambda p: p[:4])
+    assert taken != served(rows, wanted, lambda p: p[1:4]) and taken != served(rows, wanted, lambda p: (-p[0], *p[1:4]))
+    for s in "abc":
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) - wanted[s]) <= 2 * mixing.PACKET
+
+
+# 9: words that a polynomial modulo 2^64 takes for equal
+
+
+def test_words_that_collide_under_a_polynomial(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"x y {word} z"), (4, f"x y {other} z"), (5, other.upper())]
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 2}
+
+
+def test_keyed_hashes_tell_lengths_and_places_apart():
+    texts = ["abcdefgh", "abcdefghabcdefgh", "a", "aa", "hgfedcba", "abcdefghi", "iabcdefgh", "b" * 17, "b" * 16, "A"]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    hashes, counts = bytescan.word_hashes(data, offsets, 5)
+    assert counts.tolist() == [1] * 10 and len(set(hashes.tolist())) == 9 and hashes[2] == hashes[9]
+    assert not set(hashes.tolist()) & set(bytescan.word_hashes(data, offsets, 6)[0].tolist())
+    assert bytescan.word_hashes(data[:0], np.zeros(3, int), 5)[1].tolist() == [0, 0]
