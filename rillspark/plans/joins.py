@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rillspark.functions import cache
 from rillspark.operators import joins as J
 from rillspark.operators.watermarks import split_late
 from rillspark.plans.base import A, DAY, E, HOUR, arrivals, clicks, naive, table
@@ -109,6 +110,13 @@ def cached_lookup(spark, sf):
     return J.cached_lookup(table(spark, sf, "supplier"), table(spark, sf, "nation"), "s_nationkey", "n_nationkey").select("s_suppkey", "n_name")
 
 
+@query("g11_cached_calls", "SELECT c_custkey, 'nation ' || c_nationkey AS answer FROM customer")
+def cached_calls(spark, sf):
+    """A call per nation and worker process; its answers are kept for as long as they are fresh."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    return cache.cached_lookup(rows, "nations", "c_nationkey", lambda k: f"nation {k}").select("c_custkey", "answer")
+
+
 @query("g12_async_enrich", "SELECT c_custkey, 'segment ' || c_mktsegment AS answer FROM customer")
 def async_enrich(spark, sf):
     rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")

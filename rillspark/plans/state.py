@@ -40,6 +40,12 @@ def map_state_counts_running(spark, sf):
     return out.select("user_id", "event_id", F.array_join(pairs, ",").alias("counts"))
 
 
+@query("h03_map_state_changes", f"SELECT user_id, event_id, vc, row_number() OVER (PARTITION BY user_id, vc ORDER BY ts, event_id) AS n FROM {E}")
+def map_state_changes(spark, sf):
+    """The one entry of the map that each row changes."""
+    return S.value_count_changes(clicks(spark, sf), "user_id", "vc", ORDER).select("user_id", "event_id", "vc", "n")
+
+
 @query("h04_reducing_state_sum", f"SELECT user_id, event_id, sum(vc) {OVER}::BIGINT AS running_sum FROM {E}")
 def reducing_state(spark, sf):
     return G.running_sum(clicks(spark, sf), "user_id", "vc", ORDER).select("user_id", "event_id", "running_sum")
