@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 
 def string_hash(text: Column) -> Column:
-    """The 32-bit string hash h = 31 h + code unit, for text in the basic plane. Null stays null."""
-    step = lambda h, c: F.pmod(h * 31 + F.ascii(c), F.lit(1 << 32))
-    total = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), step)
+    """The 32-bit string hash h = 31 h + unit over UTF-16 units: two for a character beyond the basic plane. Null stays null."""
+    units = F.hex(F.encode(text, "UTF-16BE"))
+    n = (F.length(units) / 4).cast("int")
+    unit = lambda i: F.conv(F.substring(units, (i * 4 - 3).cast("int"), F.lit(4)), 16, 10).cast("long")
+    step = lambda h, i: F.pmod(h * 31 + unit(i), F.lit(1 << 32))
+    total = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0).cast("long"), step)).when(n == 0, F.lit(0).cast("long"))
     return F.when(total >= 1 << 31, total - (1 << 32)).otherwise(total).cast("int")
 
 

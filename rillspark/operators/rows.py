@@ -94,6 +94,11 @@ def rebalanced(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n)
 
 
+def shuffled(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """Each row to a partition drawn at random; with the same input and ``seed`` the same one again, as a rerun task needs."""
+    return df.repartition(n, F.rand(seed))
+
+
 def rescaled(df: DataFrame, n: int) -> DataFrame:
     """Fewer partitions out of neighbouring ones, without a shuffle."""
     return df.coalesce(n)

@@ -15,6 +15,11 @@ def closed_windows(rows: DataFrame, time: str, size: str, keys: list[str], *aggs
     return windowed(rows, time, size, keys, *aggs, slide=slide)
 
 
+def views_per_user(rows: DataFrame, time: str, size: str, user: str, slide: str | None = None) -> DataFrame:
+    """Rows per distinct user of each closed window."""
+    return windowed(rows, time, size, [], (F.count("*") / F.size(F.collect_set(user))).alias("ratio"), slide=slide)
+
+
 def unique_visitors(rows: DataFrame, time: str, size: str, user: str) -> DataFrame:
     """Distinct users per window: a set per window, since streams can't count distinct values."""
     return windowed(rows, time, size, [], F.size(F.collect_set(user)).alias("visitors"))
@@ -44,28 +49,27 @@ def late_windows_writer(time: str, size_s: int, delay_s: int, lateness_s: int, p
     """A batch writer of tumbling counts with allowed lateness: every micro-batch writes the counts of the windows that it
     touches, a fired one again; rows whose window is closed for good go to a side output.
 
-    The watermark of a micro-batch is the largest time of those before it, less ``delay_s``. Everything is written under
-    the micro-batch's number and made from lower numbers alone, so a replayed one writes the same again. Read the windows
-    with ``fired_windows`` and the late rows from ``{path}/late``.
+    The watermark of a micro-batch is the largest time of those before it, less ``delay_s``. Each micro-batch carries on
+    what the one before left: the largest time and the windows that are still open, so its cost doesn't grow with the age of
+    the stream. All is written under its number and made from the number before alone, so a replayed one writes the
+    same again. Read the windows with ``fired_windows`` and the late rows from ``{path}/late``.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = spark.createDataFrame([], "top bigint, number bigint")
-        fired = spark.createDataFrame([], "start_s bigint, cnt bigint, number bigint")
+        top, open_ = None, spark.createDataFrame([], "start_s bigint, cnt bigint")
         if number:
-            before = spark.read.schema(before.schema).parquet(f"{path}/tops").where(F.col("number") < number)
-            fired = spark.read.schema(fired.schema).parquet(f"{path}/fired").where(F.col("number") < number)
-        top = before.agg(F.max("top")).first()[0]  # a row per micro-batch
+            top = spark.read.schema("top bigint").parquet(f"{path}/tops/number={number - 1}").agg(F.max("top")).first()[0]
+            open_ = spark.read.schema(open_.schema).parquet(f"{path}/open/number={number - 1}")
         at = F.unix_seconds(time)
         rows = batch.withColumn("start_s", at - F.pmod(at, F.lit(size_s)))
-        late = F.lit(False) if top is None else F.col("start_s") + size_s + lateness_s <= top - delay_s
-        rows.where(late).drop("start_s").write.mode("overwrite").parquet(f"{path}/late/number={number}")
-        new = rows.where(~late).groupBy("start_s").agg(F.count("*").alias("n"))
-        last = fired.groupBy("start_s").agg(F.max_by("cnt", "number").alias("cnt"))
-        counts = new.join(last, "start_s", "left").select("start_s", (F.col("n") + F.coalesce("cnt", F.lit(0))).alias("cnt"))
-        counts.write.mode("overwrite").parquet(f"{path}/fired/number={number}")
-        batch.agg(F.max(at).alias("top")).where("top is not null").write.mode("overwrite").parquet(f"{path}/tops/number={number}")
+        closed = lambda c: F.lit(False) if top is None else c + size_s + lateness_s <= top - delay_s
+        rows.where(closed(F.col("start_s"))).drop("start_s").write.mode("overwrite").parquet(f"{path}/late/number={number}")
+        new = rows.where(~closed(F.col("start_s"))).groupBy("start_s").agg(F.count("*").alias("n"))
+        counts = new.join(open_.where(~closed(F.col("start_s"))), "start_s", "full").select("start_s", "n", (F.coalesce("n", F.lit(0)) + F.coalesce("cnt", F.lit(0))).alias("cnt"))
+        counts.select("start_s", "cnt").write.mode("overwrite").parquet(f"{path}/open/number={number}")
+        counts.where("n is not null").select("start_s", "cnt").write.mode("overwrite").parquet(f"{path}/fired/number={number}")
+        batch.agg(F.greatest(F.max(at), F.lit(top)).alias("top")).where("top is not null").write.mode("overwrite").parquet(f"{path}/tops/number={number}")
 
     return write
 

@@ -90,6 +90,28 @@ def current(spark: SparkSession, path: str, schema: str | None = None) -> DataFr
     return reader.parquet(*_slots(spark, path)[0].values())
 
 
+def compacted(spark: SparkSession, path: str) -> int:
+    """Write the newest version of every slot once more as one version, and delete the older ones; how many these were.
+
+    Upserts list all versions, so a long stream should do this now and then, between micro-batches. Readers that began
+    before keep the old files' names and must begin again.
+    """
+    folders, last = _slots(spark, path)
+    if not folders:
+        return 0
+    rows = None
+    for slot, folder in folders.items():
+        one = spark.read.parquet(folder).withColumn("slot", F.lit(slot))
+        rows = one if rows is None else rows.unionByName(one)
+    rows.repartition("slot").write.partitionBy("slot").mode("overwrite").parquet(f"{path}/v{last + 1}")
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in fs.listStatus(path_of(path)) if int(x.getPath().getName()[1:]) <= last]
+    for x in old:
+        fs.delete(x, True)
+    return len(old)
+
+
 def _slots(spark: SparkSession, path: str) -> tuple[dict[int, str], int]:
     """The folder of each slot's newest version that is complete, and the number of the newest version."""
     path_of = spark._jvm.org.apache.hadoop.fs.Path
