@@ -223,6 +223,9 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of different
     lengths neither. Equal vectors are one class, told apart only in the counts. ``window`` is how many unlike vectors
     should meet at the same ends of a table; ids are integers. An empty table gives an empty one.
+
+    A null id stands for no vector of its own: it is counted by, and linked with, rows of the same vector, but a vector
+    whose rows all have null ids is compared with no other. Repeated rows count as often as they come.
     """
     part = F.col(vector_col)
     good = part.isNotNull() & F.forall(part, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(part, lambda x: x != 0)

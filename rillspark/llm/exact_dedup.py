@@ -60,7 +60,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, keep_id, group_size, kept, text_sha256) for every row of ``docs``.
 
     Of rows with equal text, the one with the ``keep`` ("smallest" or "largest") id stays; of rows that repeat an id as
-    well, one. Null ids lose to any other id. Null texts count as empty, and all empty texts are one group.
+    well, one. Null ids lose to any other id. Null texts count as empty, and all empty texts are one group. A text of any
+    length is hashed whole, in its row. Other columns play no part. An empty table gives an empty one.
     """
     rows, groups = ranked_groups(docs, id_col, text_col, keep, fan_in)
     out = with_groups(rows, groups, KEYS, "group_size", rows.count())

@@ -248,7 +248,8 @@ def train(docs: DataFrame, most: int = 400, characters: int = 2_000_000, text_co
 def licences(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, families, probability, n_paragraphs, n_matched) of every row; ``families`` is sorted, empty if none is found.
 
-    Null and empty texts have no paragraphs. Every line of a text is read, however long; repeated rows repeat.
+    Null and empty texts have no paragraphs. Every line of a text is read, however long; repeated rows repeat. Of equally
+    likely families the first by name counts. Other columns play no part. An empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
 

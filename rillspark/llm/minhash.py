@@ -282,7 +282,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     Documents are linked if their sets of ``k``-word shingles overlap in ``percent`` of the union or more. The component
     is the smallest id reachable. Texts without words, null ones too, are linked with nothing. Rows that share an id are
     one node: what either is linked with, both are. Rows with a null id are linked through equal sets alone, and never
-    lend their id. An empty table gives an empty one.
+    lend their id. A very long text is read whole; its set is one row. Other columns play no part, whatever their names.
+    An empty table gives an empty one.
     """
     out = grouped(docs, k, percent, id_col, text_col)
     return out.select(id_col, "n_shingles", "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))

@@ -55,7 +55,8 @@ def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), budget: float = 1.5,
     counts the words up to the document's last packet in order of finish. Sources with a null name mix as one
     source; texts without words take part with size 0; the order is that of md5(id:pass), so reruns agree; repeated ids
     are told apart by size alone, which leaves sums alike. A source's line has at least ``spans`` ranges, and more so
-    that none has over about 65,536 documents.
+    that none has over about 65,536 documents. A very long text is many packets. Other columns play no part. An empty
+    table gives an empty one.
     """
     rows = docs.select(F.col(id_col), F.col(source_col), word_count(F.col(text_col)).alias("size"))
     rows = staged(rows, "word-counts")

@@ -307,6 +307,7 @@ def remove_repeats(docs: DataFrame, span: int = 400, most: int = 256, id_col: st
 
     Strings are judged on the input, may overlap, and never cross rows; copies within a row count. Null texts are empty.
     Shorter texts than ``span`` stay whole. Rows that repeat an id and a text are treated alike, each a copy of the other.
+    Very long texts are taken in parts. Other columns play no part, whatever their names. An empty table gives an empty one.
     """
     if span < 2 * COVER:
         raise ValueError(f"span must be {2 * COVER} or more")
