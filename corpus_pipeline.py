@@ -1,4 +1,8 @@
-"""From raw documents to packed token sequences, in five stages that each write Parquet for the next."""
+"""From raw documents to packed token sequences, in five stages that each write Parquet for the next.
+
+Every stage takes texts of any length whole and gives an empty table for an empty one. All but the last return the columns
+of the documents; further columns, whatever their names, come along.
+"""
 
 from __future__ import annotations
 
