@@ -241,8 +241,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, block: int = 4096, islands: in
     """``pieces`` with sequence_id and offset. Needs a column ``length`` from 1 to ``capacity``; others pass through.
 
     No sequence holds more than ``capacity``; the pieces of a sequence lie one after another from offset 0. Repeated
-    rows are packed as often as they come; an empty table gives an empty one. Pieces of one length are alike: any of
-    them may take another's place, so only the bins' fills are the same in a rerun. A very long text comes as many pieces.
+    rows are packed as often as they come; an empty table gives an empty one. Pieces of one length are alike:
+    which of them lies where is not fixed. A very long text comes as many pieces.
     """
     pieces = staged(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
     loose = pieces.where(F.col("length") < capacity).select("item", "length")
