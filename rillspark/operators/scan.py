@@ -104,9 +104,10 @@ def at_edges(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(marks, (F.col(PART) == F.col("p")) & F.col(key).eqNullSafe(F.col("k")), "left_semi")
 
 
-def with_carried(rows: DataFrame, carried: DataFrame, key: str) -> DataFrame:
-    """``rows`` with what their key's earlier ranges had come to; at most two rows a range, so they are broadcast."""
-    marks = F.broadcast(carried.withColumnsRenamed({PART: "p", key: "k"}))
+def with_carried(rows: DataFrame, carried: DataFrame, key: str, small: bool = True) -> DataFrame:
+    """``rows`` with what their key's earlier ranges had come to: at most two rows a range, broadcast if these are ``small``."""
+    marks = carried.withColumnsRenamed({PART: "p", key: "k"})
+    marks = F.broadcast(marks) if small else marks
     return rows.join(marks, (F.col(PART) == F.col("p")) & F.col(key).eqNullSafe(F.col("k")), "left").drop("p", "k")
 
 
@@ -206,7 +207,7 @@ def folded(df: DataFrame, key: str, value: str, order: list[str], new: Callable[
     some = at_edges(rows, key).withColumnRenamed(key, "k")
     edge = some.repartition(PART).sortWithinPartitions(PART, "k", *order).mapInArrow(states, edge_kind)
     carried = edge.repartition("k").sortWithinPartitions("k", PART).mapInArrow(befores, edge_kind).withColumnRenamed("k", key)
-    line = with_carried(rows, carried, key).repartition(PART).sortWithinPartitions(PART, key, *order)
+    line = with_carried(rows, carried, key, small=False).repartition(PART).sortWithinPartitions(PART, key, *order)
     return line.mapInArrow(work, ", ".join(f"`{c}` {kind}" for c, kind in {**kinds, out: out_kind}.items()))
 
 

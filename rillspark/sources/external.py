@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,45 @@ def jdbc_query(spark: SparkSession, url: str, query: str, driver: str, schema: s
 
 def jdbc_insert(rows: DataFrame, url: str, table: str, driver: str, batch_rows: int = 100) -> None:
     rows.write.format("jdbc").options(url=url, dbtable=table, driver=driver, batchsize=str(batch_rows)).mode("append").save()
+
+
+def jdbc_upsert(rows: DataFrame, url: str, table: str, key: str, driver: str, number: int, types: str | None = None, batch_rows: int = 100, retries: int = 3, within_s: float = 60.0) -> None:
+    """Write a micro-batch, one row per ``key``, over what the table has of these keys. A replay writes the same again.
+
+    ``types`` are columns' types in the database ("name VARCHAR(100)"), where the usual ones can't be compared.
+
+    Tasks fill a table of the micro-batch's own; the database then takes its rows over in one transaction. A failure is
+    tried again, ever later, at most ``retries`` times and while ``within_s`` lasts; the table is as before until then.
+    """
+    spark, stage, end = rows.sparkSession, f"{table}_batch_{number}", time.monotonic() + within_s
+    options = {"url": url, "driver": driver, "batchsize": str(batch_rows)} | ({"createTableColumnTypes": types} if types else {})
+    columns = ", ".join(f'"{c}"' for c in rows.columns)
+    for attempt in range(retries + 1):
+        try:
+            rows.write.format("jdbc").options(dbtable=stage, **options).mode("overwrite").save()
+            rows.limit(0).write.format("jdbc").options(dbtable=table, **options).mode("append").save()
+            take = [f'DELETE FROM {table} WHERE "{key}" IN (SELECT "{key}" FROM {stage})', f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {stage}", f"DROP TABLE {stage}"]
+            return transaction(spark, url, driver, take)
+        except Exception:
+            left = end - time.monotonic()
+            if attempt == retries or left <= 0:
+                raise
+            time.sleep(min(0.1 * 2**attempt, left))
+
+
+def transaction(spark: SparkSession, url: str, driver: str, statements: list[str]) -> None:
+    """Run statements in the database, all or none."""
+    spark._jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(driver)
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        connection.setAutoCommit(False)
+        for text in statements:
+            statement = connection.createStatement()
+            statement.executeUpdate(text)
+            statement.close()
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()

@@ -9,7 +9,7 @@ from rillspark.functions import scalar
 from rillspark.operators import aggregates, rows, windows
 from rillspark.plans.base import clicks
 from rillspark.session import run_folder, scratch
-from rillspark.sources import files
+from rillspark.sources import external, files
 from rillspark.streaming import joined, queries, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +112,42 @@ def test_rows_are_spread_at_random(spark):
     got = rows.shuffled(spark.range(8000), 8, 1).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.countDistinct(F.col("id") % 8).alias("kinds")).collect()
     assert len(got) == 8 and all(800 < r["n"] < 1200 and r["kinds"] == 8 for r in got)
     assert rows.shuffled(spark.range(100), 4).distinct().count() == 100
+
+
+URL, DRIVER = "jdbc:derby:memory:upserts;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+def stored(spark):
+    return sorted(map(tuple, external.jdbc_query(spark, URL, "SELECT * FROM kept", DRIVER).collect()))
+
+
+def test_micro_batches_go_to_a_database_once(spark, tmp_path, monkeypatch):
+    batches = [[("a", 1), ("b", 2)], [("b", 3), ("c", 4)]]
+    for number, rows_ in enumerate(batches):
+        df = spark.createDataFrame(rows_, "k string, v int")
+        for _ in range(2):  # the second time is a replay
+            external.jdbc_upsert(df, URL, "kept", "k", DRIVER, number, "k VARCHAR(20)")
+    assert stored(spark) == [("a", 1), ("b", 3), ("c", 4)]
+
+    calls, real = [], external.transaction
+
+    def flaky(*args):
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("connection lost")
+        real(*args)
+
+    monkeypatch.setattr(external, "transaction", flaky)
+    external.jdbc_upsert(spark.createDataFrame([("a", 9)], "k string, v int"), URL, "kept", "k", DRIVER, 2, "k VARCHAR(20)")
+    assert len(calls) == 3 and stored(spark)[0] == ("a", 9)
+    calls.clear()
+    monkeypatch.setattr(external, "transaction", lambda *args: calls.append(1) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        external.jdbc_upsert(spark.createDataFrame([("a", 0)], "k string, v int"), URL, "kept", "k", DRIVER, 3, "k VARCHAR(20)", retries=2)
+    assert len(calls) == 3 and stored(spark)[0] == ("a", 9)
+
+
+def test_a_transaction_is_all_or_nothing(spark):
+    with pytest.raises(Exception):
+        external.transaction(spark, URL, DRIVER, ["INSERT INTO kept VALUES ('z', 1)", "INSERT INTO nowhere VALUES (1)"])
+    assert all(k != "z" for k, _ in stored(spark))
