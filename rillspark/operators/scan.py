@@ -26,6 +26,9 @@ from pyspark.sql.types import StructType
 from rillspark.operators.ranges import in_ranges
 
 PART, NTH = "part of scan", "nth of scan"
+#: The same of marked ranges, under names that no table's columns have.
+MARK, MARKED = "mark of scan", "marked key of scan"
+KEY, VALUE, STATE = "key of scan", "value of scan", "state of scan"
 
 
 @dataclass(frozen=True)
@@ -100,15 +103,15 @@ def edges(rows: DataFrame, key: str) -> DataFrame:
 
 def at_edges(rows: DataFrame, key: str) -> DataFrame:
     """The rows of ranges' first and last keys. The marks are two rows a range, so they are broadcast."""
-    marks = F.broadcast(edges(rows, key).withColumnsRenamed({PART: "p", key: "k"}))
-    return rows.join(marks, (F.col(PART) == F.col("p")) & F.col(key).eqNullSafe(F.col("k")), "left_semi")
+    marks = F.broadcast(edges(rows, key).withColumnsRenamed({PART: MARK, key: MARKED}))
+    return rows.join(marks, (F.col(PART) == F.col(MARK)) & F.col(key).eqNullSafe(F.col(MARKED)), "left_semi")
 
 
 def with_carried(rows: DataFrame, carried: DataFrame, key: str, small: bool = True) -> DataFrame:
     """``rows`` with what their key's earlier ranges had come to: at most two rows a range, broadcast if these are ``small``."""
-    marks = carried.withColumnsRenamed({PART: "p", key: "k"})
+    marks = carried.withColumnsRenamed({PART: MARK, key: MARKED})
     marks = F.broadcast(marks) if small else marks
-    return rows.join(marks, (F.col(PART) == F.col("p")) & F.col(key).eqNullSafe(F.col("k")), "left").drop("p", "k")
+    return rows.join(marks, (F.col(PART) == F.col(MARK)) & F.col(key).eqNullSafe(F.col(MARKED)), "left").drop(MARK, MARKED)
 
 
 def scan(df: DataFrame, key: str, order: list[str], **values: Running) -> DataFrame:
@@ -158,23 +161,23 @@ def segments(parts: pa.Array, keys: pa.Array) -> list[tuple[int, int]]:
 
 def folded(df: DataFrame, key: str, value: str, order: list[str], new: Callable[[], State], load: Callable[[Any], State], state_kind: str, out: str, out_kind: str) -> DataFrame:
     """(key, order, ``out``): what a ``State`` of the key emits after each row."""
-    rows = in_ranges(df.select(key, *order, F.col(value).alias("value of scan")), key, *order, out=PART)
+    rows = in_ranges(df.select(key, *order, F.col(value).alias(VALUE)), key, *order, out=PART)
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, *order)}
-    edge_kind = f"`{PART}` int, `k` {kinds[key]}, state {state_kind}"
+    edge_kind = f"`{PART}` int, `{KEY}` {kinds[key]}, `{STATE}` {state_kind}"
     schema = to_arrow_schema(StructType.fromDDL(edge_kind))
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The state of each edge key's rows in a range, from nothing."""
         now, state = None, None
         for batch in batches:
-            parts, keys = batch.column(PART), batch.column("k")
+            parts, keys = batch.column(PART), batch.column(KEY)
             for a, b in segments(parts, keys):
                 this = (parts[a].as_py(), keys[a].as_py())
                 if this != now:
                     if state is not None:
                         yield made(*([x] for x in (*now, state.saved())), schema)
                     now, state = this, new()
-                state.rows(batch.column("value of scan")[a:b])
+                state.rows(batch.column(VALUE)[a:b])
         if state is not None:
             yield made(*([x] for x in (*now, state.saved())), schema)
 
@@ -182,7 +185,7 @@ def folded(df: DataFrame, key: str, value: str, order: list[str], new: Callable[
         """What each range starts from: one key's states of earlier ranges, in order, one after another."""
         now, state = None, None
         for batch in batches:
-            for p, k, saved in zip(*(batch.column(c).to_pylist() for c in (PART, "k", "state")), strict=True):
+            for p, k, saved in zip(*(batch.column(c).to_pylist() for c in (PART, KEY, STATE)), strict=True):
                 if now is None or k != now[0]:
                     now, state = (k,), None
                 if state is not None:
@@ -198,15 +201,15 @@ def folded(df: DataFrame, key: str, value: str, order: list[str], new: Callable[
             for a, b in segments(parts, keys):
                 this = (parts[a].as_py(), keys[a].as_py())
                 if this != now:
-                    saved = batch.column("state")[a].as_py()
+                    saved = batch.column(STATE)[a].as_py()
                     now, state = this, new() if saved is None else load(saved)
-                pieces.append(state.rows(batch.column("value of scan")[a:b]))
+                pieces.append(state.rows(batch.column(VALUE)[a:b]))
             if pieces:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, *order)), pa.concat_arrays(pieces)], names=[key, *order, out])
 
-    some = at_edges(rows, key).withColumnRenamed(key, "k")
-    edge = some.repartition(PART).sortWithinPartitions(PART, "k", *order).mapInArrow(states, edge_kind)
-    carried = edge.repartition("k").sortWithinPartitions("k", PART).mapInArrow(befores, edge_kind).withColumnRenamed("k", key)
+    some = at_edges(rows, key).withColumnRenamed(key, KEY)
+    edge = some.repartition(PART).sortWithinPartitions(PART, KEY, *order).mapInArrow(states, edge_kind)
+    carried = edge.repartition(KEY).sortWithinPartitions(KEY, PART).mapInArrow(befores, edge_kind).withColumnRenamed(KEY, key)
     line = with_carried(rows, carried, key, small=False).repartition(PART).sortWithinPartitions(PART, key, *order)
     return line.mapInArrow(work, ", ".join(f"`{c}` {kind}" for c, kind in {**kinds, out: out_kind}.items()))
 

@@ -15,6 +15,13 @@ def closed_windows(rows: DataFrame, time: str, size: str, keys: list[str], *aggs
     return windowed(rows, time, size, keys, *aggs, slide=slide)
 
 
+def processing_windows(rows: DataFrame, size: str, keys: list[str], *aggs: Column, slide: str | None = None) -> DataFrame:
+    """Windows by the time that rows are handled: all rows of a micro-batch fall at its start. Without lateness, a window
+    closes with the first micro-batch that starts after its end and has rows."""
+    handled = rows.withColumn("handled", F.current_timestamp()).withWatermark("handled", "0 seconds")
+    return windowed(handled, "handled", size, keys, *aggs, slide=slide)
+
+
 def views_per_user(rows: DataFrame, time: str, size: str, user: str, slide: str | None = None) -> DataFrame:
     """Rows per distinct user of each closed window."""
     return windowed(rows, time, size, [], (F.count("*") / F.size(F.collect_set(user))).alias("ratio"), slide=slide)

@@ -79,8 +79,9 @@ class FileCommitter(DataSourceStreamArrowWriter):
 
     def abort(self, messages: list[Written | None], batchId: int) -> None:
         fs, root = opened(self.path)
+        there = set(names(fs, f"{root}/rows"))
         for m in messages:
-            if m and m.file and m.file in names(fs, f"{root}/rows"):
+            if m and m.file in there:
                 fs.delete_file(f"{root}/rows/{m.file}")
 
 

@@ -1,6 +1,8 @@
 """Joined histories, change feeds, ratios per window, compaction, run folders, hashes of surrogates, random spreading."""
 
+import datetime
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +77,21 @@ def test_views_per_user_of_closed_windows(spark, folder, tmp_path):
     assert key(got) == key(want)
 
 
+def test_windows_by_the_time_that_rows_are_handled(spark, folder, tmp_path):
+    began = time.time()
+    some = spark.read.schema(SCHEMA).parquet(f"{folder}/*")
+    for name, slide, times in (("tumbling", None, 1), ("sliding", "5 seconds", 2)):
+        (tmp_path / name).mkdir()
+        counts = queries.processing_windows(stream(spark, folder), "10 seconds", ["event_type"], F.count("*").alias("cnt"), slide=slide)
+        rows_ = shown(spark, counts, tmp_path / name, f"handled_{name}", "complete").collect()
+        want = {r["event_type"]: r["count"] * times for r in some.groupBy("event_type").count().collect()}
+        got = {}
+        for r in rows_:
+            got[r["event_type"]] = got.get(r["event_type"], 0) + r["cnt"]
+            assert began - 15 <= r["window_start"].replace(tzinfo=datetime.timezone.utc).timestamp() <= time.time()
+        assert got == want
+
+
 def test_slots_are_compacted(spark, tmp_path):
     path = str(tmp_path / "table")
     for k in range(3):

@@ -116,3 +116,10 @@ def test_no_rows(rows):
     assert aggregates.running_sum(none, "key", "v", ORDER).count() == 0
     assert state.top_so_far(none, "key", "v", ORDER).count() == 0
     assert state.running_value_counts(none, "key", "v", ORDER).count() == 0
+
+
+def test_columns_may_have_any_names(rows):
+    named = rows.select(F.col("key").alias("k"), F.col("id").alias("p"), F.col("at").alias("state"), F.col("v").alias("edge"))
+    got = aggregates.running_sum(named, "k", "edge", ["state", "p"]).select("p", "running_sum")
+    same(got, aggregates.running_sum(rows, "key", "v", ORDER).select(F.col("id").alias("p"), "running_sum"))
+    same(state.top_so_far(named, "k", "edge", ["state", "p"]).select("p", "top"), state.top_so_far(rows, "key", "v", ORDER).select(F.col("id").alias("p"), "top"))
