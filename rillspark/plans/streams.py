@@ -21,14 +21,14 @@ def halves(spark, sf) -> str:
     path, rows = scratch(spark, "halves"), clicks(spark, sf)
     middle = rows.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0]
     for name, half in (("one", F.unix_micros("ts") <= middle), ("two", F.unix_micros("ts") > middle)):
-        rows.where(half).coalesce(2).write.parquet(f"{path}/{name}")
+        rows.where(half).write.parquet(f"{path}/{name}")
     return path
 
 
 def twice(spark, path: str, make) -> None:
     """Run a query over the first half until it has read all, and again, from its checkpoint, over both halves."""
     for folders in (f"{path}/one", f"{path}/*"):
-        make(files.timed_stream(spark, folders, SCHEMA, "ts", "1 hour", files_per_trigger=2)).awaitTermination()
+        make(files.timed_stream(spark, folders, SCHEMA, "ts", "1 hour", files_per_trigger=100)).awaitTermination()
 
 
 def now(writer):

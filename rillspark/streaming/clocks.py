@@ -124,6 +124,7 @@ class SeededSum(RunningSum):
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         self.sum.update((self.cast(initialState["s"].iloc[0]),))
+        self.flush()
 
 
 def seeded(rows: DataFrame, key: str, processor: SeededSum, initial: DataFrame, value: str = "vc", order: tuple[str, str] = ("ts", "event_id")) -> DataFrame:
