@@ -29,8 +29,9 @@ def order_of(place: str) -> list[tuple]:
 class PatternMatcher(StatefulProcessor):
     """Holds rows until the watermark has passed them, then feeds them in order of (time, order); late rows never come.
 
-    State: rows that wait, the automaton's partial matches and its buffer, an entry per row and step. Only what a
-    micro-batch changed is written. Timers stand after each waiting row and at the end of each partial match.
+    State: rows that wait, as a list, and the automaton's partial matches with its buffer as one text. A key's rows of a
+    micro-batch are appended in one call and read in one when its only timer fires, so calls of state grow with keys and
+    micro-batches, not with rows. The timer stands at the first waiting row or end of a partial match.
     """
 
     def __init__(self, pattern: Pattern, key: str) -> None:
@@ -39,71 +40,73 @@ class PatternMatcher(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at bigint, place string", "fits bigint, payload string")
-        self.runs = handle.getMapState("runs", "version string", "steps int, step int, nth bigint, began bigint, rank bigint")
-        self.buffer = handle.getMapState("buffer", "step int, nth bigint", "at bigint, payload string, links string")
-        self.counts = handle.getValueState("counts", "rows bigint, begun bigint, due bigint")
+        self.waiting = handle.getListState("waiting", "at bigint, place string, fits bigint, payload string")
+        self.held = handle.getValueState("held", "rows bigint, begun bigint, due bigint, machine string")
+
+    def rung(self, before: int | None, due: int | None) -> None:
+        """Move the timer."""
+        if before != due:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if due is not None:
+                self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        count, begun, due = self.counts.get() if self.counts.exists() else (0, 0, None)
+        more = []
         for frame in rows:
-            for row in frame.itertuples(index=False):
-                values = list(row)
+            for values in frame.itertuples(index=False, name=None):
                 at, fits, payload = int(values[1]), int(values[2]), values[-1]
                 if not (fits or self.strict):  # it came to move the watermark, which a filter before would have kept it from
                     continue
                 place = json.dumps([None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in values[3:-2]], default=str)
-                self.waiting.updateValue((at, f"{place} {count:020d}"), (fits, payload if isinstance(payload, str) else ""))
-                count += 1
-                fire = at // 1000 + 1
-                self.handle.registerTimer(fire)
-                due = fire if due is None else min(due, fire)
-        self.counts.update((count, begun, due))
+                more.append((at, place, fits, payload if isinstance(payload, str) else ""))
+        if more:
+            count, begun, due, machine = self.held.get() or (0, 0, None, "")
+            self.waiting.appendList([(at, f"{place} {count + i:020d}", *rest) for i, (at, place, *rest) in enumerate(more)])
+            first = min(at for at, *_ in more) // 1000 + 1
+            new = first if due is None else min(due, first)
+            self.rung(due, new)
+            self.held.update((count + len(more), begun, new, machine))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        count, begun, due = self.counts.get()
-        if due is None or due > mark:  # another timer of this micro-batch has done all there was to do
+        count, begun, due, text = self.held.get() or (0, 0, None, "")
+        if due is None or due > mark:
             return
-        machine, known_runs, known_entries = self.loaded(begun)
-        machine.count = count
-        ready = sorted(((k[0], order_of(k[1]), k, v) for k, v in self.waiting.iterator() if k[0] // 1000 < mark), key=lambda x: x[:2])
+        machine = self.loaded(text, count, begun)
+        ready, rest = [], []
+        for row in self.waiting.get():
+            (ready if row[0] // 1000 < mark else rest).append(tuple(row))
         out = []
-        for at, _, place, (fits, payload) in ready:
+        for at, _, fits, payload in sorted(ready, key=lambda x: (x[0], order_of(x[1]))):
             out += machine.feed(at, fits, payload)
-            self.waiting.removeKey(place)
+        if ready:
+            self.waiting.put(rest) if rest else self.waiting.clear()
         out += machine.expire(mark * 1000 - 1)
-        rest = [k[0] // 1000 + 1 for k, _ in self.waiting.iterator()]
+        dues = [row[0] // 1000 + 1 for row in rest]
         if self.within_us is not None:
-            ends = [-(-(r.began + self.within_us) // 1000) + 1 for r in machine.runs]
-            for end in set(ends):
-                self.handle.registerTimer(end)
-            rest += ends
-        self.saved(machine, known_runs, known_entries)
-        self.counts.update((machine.count, machine.begun, min(rest) if rest else None))
+            dues += [-(-(r.began + self.within_us) // 1000) + 1 for r in machine.runs]
+        new = min(dues) if dues else None
+        if new is not None:  # the timer that fired goes by itself
+            self.handle.registerTimer(new)
+        self.held.update((machine.count, machine.begun, new, self.saved(machine)))
         if out:
             yield pd.DataFrame([(key[0], *emitted(self.steps, x)) for x in out], columns=self.columns)
 
-    def loaded(self, begun: int) -> tuple[Automaton, dict, dict]:
-        runs = {k[0]: tuple(v) for k, v in self.runs.iterator()}
-        entries = {tuple(k): tuple(v) for k, v in self.buffer.iterator()}
-        machine = Automaton(self.steps, self.within_us, begun=begun)
-        for version, (steps, step, nth, began, _) in sorted(runs.items(), key=lambda x: x[1][4]):
-            machine.runs.append(Run(steps, numbers(version), (step, nth), began))
-        for place, (at, payload, links) in entries.items():
-            machine.buffer[place] = Entry(payload, at, {numbers(v): tuple(b) if b else None for v, b in json.loads(links).items()})
-        return machine, runs, entries
-
-    def saved(self, machine: Automaton, runs: dict, entries: dict) -> None:
-        now = {dotted(r.version): (r.steps, *r.last, r.began, i) for i, r in enumerate(machine.runs)}
-        held = {place: (e.at, e.payload, json.dumps({dotted(v): b for v, b in e.links.items()})) for place, e in machine.buffer.items()}
-        for state, before, after, of in ((self.runs, runs, now, lambda k: (k,)), (self.buffer, entries, held, lambda k: k)):
-            for k in before.keys() - after.keys():
-                state.removeKey(of(k))
-            for k, v in after.items():
-                if before.get(k) != v:
-                    state.updateValue(of(k), v)
+    def loaded(self, text: str, count: int, begun: int) -> Automaton:
+        machine = Automaton(self.steps, self.within_us, count=count, begun=begun)
+        runs, entries = json.loads(text) if text else ([], [])
+        machine.runs = [Run(steps, numbers(version), tuple(last), began) for steps, version, last, began in runs]
+        for place, payload, at, links in entries:
+            machine.buffer[tuple(place)] = Entry(payload, at, {numbers(v): tuple(b) if b else None for v, b in links.items()})
+        return machine
+
+    def saved(self, machine: Automaton) -> str:
+        if not machine.runs:
+            return ""
+        runs = [(r.steps, dotted(r.version), r.last, r.began) for r in machine.runs]
+        return json.dumps((runs, [(place, e.payload, e.at, {dotted(v): b for v, b in e.links.items()}) for place, e in machine.buffer.items()]))
 
     def close(self) -> None:
         """Nothing is held outside states."""

@@ -62,7 +62,7 @@ class State:
 
     def removeKey(self, key):
         self.called()
-        del self.value[key]
+        self.value.pop(key, None)
 
     def iterator(self):
         return self.called(iter(list(self.value.items())))
@@ -121,3 +121,23 @@ def test_kept_maps_and_lists_are_what_plain_ones_were():
     frame = rows(0, 4).assign(kind=["b", "a", "a", "a"])
     assert sorted(given(p, frame)) == [(1, i, "completed") for i in range(3)]
     assert list(states.calls) and not given(p, rows(5, 1).assign(kind="b"))
+
+
+def test_a_pattern_calls_its_states_once_per_micro_batch():
+    from rillspark.operators.automata import SCHEMA, Pattern
+    from rillspark.streaming.automata import PatternMatcher
+
+    pattern = Pattern.begin("a", None).followed_by("b", None).within(1000)
+    p, states = PatternMatcher(pattern, "user_id"), States()
+    p.init(states)
+    n = 200
+    frame = lambda first: pd.DataFrame({"user_id": 1, "at": [x * 1_000_000 for x in range(first, first + n)], "fits": [1 + x % 2 for x in range(n)], "order 0": range(first, first + n), "when": 0, "payload": [str(x) for x in range(first, first + n)]})
+    out = []
+    for first in (0, n):
+        list(p.handleInputRows((1,), iter([frame(first)]), Clock()))
+        clock = Clock((first + n) * 1000)
+        assert len(states.timers) == 1 and min(states.timers) <= clock.mark
+        states.timers.discard(min(states.timers))
+        out += [r for x in p.handleExpiredTimer((1,), clock, clock) for r in x.itertuples(index=False)]
+    assert [r.payloads for r in out] == [[str(x), str(x + 1)] for x in range(0, 2 * n, 2)] and list(out[0]._fields[1:]) == [f.split()[0] for f in SCHEMA.split(", ")]
+    assert sum(states.calls.values()) <= 20
