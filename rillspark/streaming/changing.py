@@ -11,7 +11,9 @@ import bisect
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +21,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from rillspark.streaming.processors import PROVIDER, Ordered, held, millis
 
 ADDED = ("+I", "+U")
+#: Rows that leave Arrow at a time.
+BATCH = 10_000
 
 
 def stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
@@ -140,18 +144,44 @@ class Rules(Ordered):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).rename(columns=self.names)
-        known = [tuple(x) for x in json.loads(held(self.versions, "[]"))]
-        for row in frame[frame["is_rule"]].itertuples():
-            bisect.insort(known, (int(row.at_us), int(row.id), row.rule))
-        out = []
-        for row in frame[~frame["is_rule"]].sort_values(["at_us", "id"]).itertuples():
-            i = bisect.bisect_left(known, (int(row.at_us), int(row.id), ""))
-            out += self.decided(key[0], row, json.loads(known[i - 1][2]) if i else None)
-        old = bisect.bisect_left(known, (int(frame["at_us"].max()) - self.keep_ms * 1000,))
-        self.versions.update((json.dumps(known[max(old - 1, 0) :]),))
-        yield from self.emitted(out)
-
+        """Rules are held as numbers beside each different text once, rows in Arrow; what comes out leaves by the batch."""
+        number: dict[str, int] = {}
+        known = json.loads(held(self.versions, "[]"))
+        rules = [np.array([(at, i, number.setdefault(text, len(number))) for at, i, text in known], np.int64).reshape(-1, 3)]
+        plain, newest = [], None
+        for frame in rows:
+            frame = frame.rename(columns=self.names)
+            top = int(frame["at_us"].max())
+            newest = top if newest is None else max(newest, top)
+            is_rule = frame["is_rule"].to_numpy(bool)
+            if is_rule.any():
+                new = frame.loc[is_rule, ["at_us", "id", "rule"]]
+                rules.append(np.column_stack([new["at_us"].to_numpy(np.int64), new["id"].to_numpy(np.int64), [number.setdefault(x, len(number)) for x in new["rule"]]]).astype(np.int64))
+            if not is_rule.all():
+                plain.append(pa.Table.from_pandas(frame[~is_rule].drop(columns=["is_rule", "rule"]), preserve_index=False))
+        texts = list(number)
+        place = np.argsort(np.argsort(np.array(texts, object))) if texts else np.zeros(0, np.int64)
+        rules = np.concatenate(rules)
+        rules = rules[np.lexsort((place[rules[:, 2]], rules[:, 1], rules[:, 0]))]
+        old = max(int(np.searchsorted(rules[:, 0], newest - self.keep_ms * 1000)) - 1, 0)
+        self.versions.update((json.dumps([(at, i, texts[n]) for at, i, n in rules[old:].tolist()]),))
+        if not plain:
+            return
+        table = pa.concat_tables(plain, promote_options="permissive")
+        del plain
+        at, ids = (table[c].to_numpy().astype(np.int64) for c in ("at_us", "id"))
+        n = len(at)
+        # Rows before rules of the same time and id, so what stands before a row are the rules that hold for it.
+        order = np.lexsort((np.arange(n + len(rules)) >= n, np.r_[ids, rules[:, 1]], np.r_[at, rules[:, 0]]))
+        is_row = order < n
+        order, before = order[is_row], np.cumsum(~is_row)[is_row]
+        parsed = [json.loads(x) for x in texts]
+        for first in range(0, n, BATCH):
+            part = table.take(pa.array(order[first : first + BATCH])).to_pandas()
+            out = []
+            for row, i in zip(part.itertuples(), before[first : first + BATCH].tolist(), strict=True):
+                out += self.decided(key[0], row, parsed[rules[i - 1, 2]] if i else None)
+            yield from self.emitted(out)
 
 class AboveThreshold(Rules):
     """Rows whose value is above the rule's number, or ``default`` before the first rule."""

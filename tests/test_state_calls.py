@@ -141,3 +141,16 @@ def test_a_pattern_calls_its_states_once_per_micro_batch():
         out += [r for x in p.handleExpiredTimer((1,), clock, clock) for r in x.itertuples(index=False)]
     assert [r.payloads for r in out] == [[str(x), str(x + 1)] for x in range(0, 2 * n, 2)] and list(out[0]._fields[1:]) == [f.split()[0] for f in SCHEMA.split(", ")]
     assert sum(states.calls.values()) <= 20
+
+
+def test_what_rules_decide_leaves_by_the_batch():
+    n = 2 * changing.BATCH + 5
+    p = changing.AboveThreshold(0.0)
+    p.key, p.names, p.number, p.cast, p.columns = "shard", {"event_id": "id", "vc": "value"}, "bigint", int, ["shard", "id", "value", "held"]
+    p.init(States())
+    made = lambda first, n, rule: pd.DataFrame({"shard": 0, "at_us": range(first, first + n), "event_id": range(first, first + n), "vc": 9, "owner": None, "action": None, "is_rule": bool(rule), "rule": rule})
+    frames = [made(n // 2, 1, '["8.0"]'), made(5, n, ""), made(3, 1, '["4.0"]')]
+    out = list(p.handleInputRows((0,), iter(frames), Clock()))
+    assert [len(x) for x in out] == [changing.BATCH, changing.BATCH, 5]
+    every = pd.concat(out)
+    assert list(every["id"]) == list(range(5, n + 5)) and list(every["held"]) == [4.0 if i <= n // 2 else 8.0 for i in every["id"]]
