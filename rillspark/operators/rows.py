@@ -54,8 +54,12 @@ def changelog(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("n", n).select(key, *order, F.explode(F.when(F.col("n") == 1, first).otherwise(later)).alias("change")).select(key, *order, "change.*")
 
 
-def rich_map(df: DataFrame, make: Callable[[int], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
-    """``make`` runs once for each parallel instance, with its index, and gives the function for its batches."""
+def rich_map(df: DataFrame, make: Callable[[int], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, batch_bytes: int = 1 << 21) -> DataFrame:
+    """``make`` runs once for each parallel instance, with its index, and gives the function for its batches.
+
+    A batch ends at ``batch_bytes`` of Arrow data, or with the row that passes them: texts take several times that in Python.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
