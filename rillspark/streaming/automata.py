@@ -21,17 +21,23 @@ def dotted(version: tuple[int, ...]) -> str:
     return ".".join(map(str, version))
 
 
-def order_of(place: str) -> list[tuple]:
-    """The order columns and the number of a waiting row, nulls first."""
-    return [*((v is not None, v) for v in json.loads(place[:-21])), (True, int(place[-20:]))]
+def place_of(row: list) -> tuple:
+    """Where a waiting row (time, order, number, fits, payload) comes: by time, order with nulls first, and number."""
+    return row[0], [(v is not None, v) for v in row[1]], row[2]
+
+
+def filled(column: pd.Series) -> list:
+    """A column's values, None for missing ones."""
+    values = column.tolist()
+    return [None if pd.isna(v) else v for v in values] if column.hasnans else values
 
 
 class PatternMatcher(StatefulProcessor):
     """Holds rows until the watermark has passed them, then feeds them in order of (time, order); late rows never come.
 
     State: rows that wait, as a list, and the automaton's partial matches with its buffer as one text. A key's rows of a
-    micro-batch are appended in one call and read in one when its only timer fires, so calls of state grow with keys and
-    micro-batches, not with rows. The timer stands at the first waiting row or end of a partial match.
+    micro-batch are one entry of the list, read when the key's only timer fires, so calls of state and their entries grow
+    with keys and micro-batches, not with rows. The timer stands at the first waiting row or end of a partial match.
     """
 
     def __init__(self, pattern: Pattern, key: str) -> None:
@@ -40,7 +46,7 @@ class PatternMatcher(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, place string, fits bigint, payload string")
+        self.waiting = handle.getListState("waiting", "rows string")
         self.held = handle.getValueState("held", "rows bigint, begun bigint, due bigint, machine string")
 
     def rung(self, before: int | None, due: int | None) -> None:
@@ -54,15 +60,14 @@ class PatternMatcher(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         more = []
         for frame in rows:
-            for values in frame.itertuples(index=False, name=None):
-                at, fits, payload = int(values[1]), int(values[2]), values[-1]
-                if not (fits or self.strict):  # it came to move the watermark, which a filter before would have kept it from
-                    continue
-                place = json.dumps([None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in values[3:-2]], default=str)
-                more.append((at, place, fits, payload if isinstance(payload, str) else ""))
+            if not self.strict:  # the others came to move the watermark, which a filter before would have kept them from
+                frame = frame[frame.iloc[:, 2].to_numpy() > 0]
+            columns = [filled(frame.iloc[:, i]) for i in range(1, frame.shape[1]) if i != frame.shape[1] - 2]
+            more += [(at, order, fits, payload or "") for at, fits, *order, payload in zip(*columns, strict=True)]
         if more:
             count, begun, due, machine = self.held.get() or (0, 0, None, "")
-            self.waiting.appendList([(at, f"{place} {count + i:020d}", *rest) for i, (at, place, *rest) in enumerate(more)])
+            chunk = [(at, order, count + i, fits, payload) for i, (at, order, fits, payload) in enumerate(more)]
+            self.waiting.appendValue((json.dumps(chunk, default=str),))
             first = min(at for at, *_ in more) // 1000 + 1
             new = first if due is None else min(due, first)
             self.rung(due, new)
@@ -76,13 +81,16 @@ class PatternMatcher(StatefulProcessor):
             return
         machine = self.loaded(text, count, begun)
         ready, rest = [], []
-        for row in self.waiting.get():
-            (ready if row[0] // 1000 < mark else rest).append(tuple(row))
+        for (chunk,) in self.waiting.get():
+            for row in json.loads(chunk):
+                (ready if row[0] // 1000 < mark else rest).append(row)
         out = []
-        for at, _, fits, payload in sorted(ready, key=lambda x: (x[0], order_of(x[1]))):
+        for at, _, _, fits, payload in sorted(ready, key=place_of):
             out += machine.feed(at, fits, payload)
-        if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self.waiting.put([(json.dumps(rest),)])
+        else:
+            self.waiting.clear()
         out += machine.expire(mark * 1000 - 1)
         dues = [row[0] // 1000 + 1 for row in rest]
         if self.within_us is not None:
