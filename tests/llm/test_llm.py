@@ -183,6 +183,27 @@ def test_repeats_in_very_long_texts_equal_brute_force(spark, monkeypatch):
     assert [got[i] for i in range(4)] == removed([t.encode() for t in texts], 400)
 
 
+@pytest.mark.parametrize("n", [80, 320])
+def test_lines_of_a_crowded_bucket_are_bounded_by_its_rows(spark, monkeypatch, n):
+    """One passage of 390 bytes in every text, in every third with ten bytes more: its buckets are crowded in the larger table."""
+    rng = np.random.default_rng(11)
+    draw = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage, after = draw(390), draw(10)
+    texts = [draw(150) + passage + (after if i % 3 == 0 else "") + draw(150) for i in range(n)]
+    made, stage = {}, suffix_dedup.staged
+
+    def counted(df, name):
+        out = stage(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "staged", counted)
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most=256).collect()}
+    assert [got[i] for i in range(n)] == removed([t.encode() for t in texts], 400)
+    assert all(lines <= 4 * made["anchors"][0] for name in made for lines in made[name])
+    assert n == 80 or len(made["parts"]) > 1
+
+
 def test_cover_ranks_are_in_byte_order():
     rng = np.random.default_rng(4)
     data = np.frombuffer(b"".join([bytes(rng.integers(97, 99, 300, dtype=np.uint8))] * 3) + bytes(rng.integers(97, 100, 900, dtype=np.uint8)), np.uint8)
